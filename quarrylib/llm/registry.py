@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, line_dedup, mixing
+from . import decontamination, line_dedup, mixing, pii
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_pii": pii.op6_pii,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op10_decontamination": decontamination.op10_decontamination,
     }
