@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, line_dedup, mixing, pii
+from . import decontamination, line_dedup, mixing, pii, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op8_mix_sources": mixing.op8_mix_sources,

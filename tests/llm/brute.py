@@ -31,3 +31,34 @@ def pii_base(text: str | None) -> list[tuple[str, int, int]]:
 
 def sha256(s: str) -> str:
     return hashlib.sha256(s.encode()).hexdigest()
+
+
+def simhash(text: str | None) -> int:
+    import xxhash
+
+    w = WORD.findall((text or "").translate(AZ))
+    if not w:
+        return 0
+    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def components(fps: list[tuple[int, int]], bits: int = 2) -> list[tuple[int, str, int]]:
+    """(id, hex, least id reachable) of (id, fingerprint) rows."""
+    root = list(range(len(fps)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i][1] ^ fps[j][1]).bit_count() <= bits:
+                root[top(i)] = top(j)
+    least: dict[int, int] = {}
+    for i, (d, _) in enumerate(fps):
+        least[top(i)] = min(least.get(top(i), d), d)
+    return sorted((d, f"{f:016x}", least[top(i)]) for i, (d, f) in enumerate(fps))
