@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, id_key, table, text_or_empty, word_count
 
-#: Ranges of the random key in each source; only the range that holds a source's cut is sorted by rows.
+#: Hexadecimal digits of the random key that name its range.
 RANGE_DIGITS = 3
 
 
@@ -77,55 +77,43 @@ def mix_sources(
     take turns in an arbitrary order, which changes no value. A source of size 0 has target 0; an
     empty table gives none. Columns named as the new ones are replaced.
 
-    Sums over ranges of the random key (a thousand a source, summed before they are shuffled) give
-    each range's prefix; ranges under the budget are taken whole and those above not at all, so only
-    the one range of each source where the cut falls is sorted by rows.
+    The random keys of a source are cut into 4096 ranges. Their sums, made before the shuffle, give
+    each range's prefix; rows are sorted and summed in their range alone, so no source, however
+    large, meets in one task.
     """
     names = {"size", "source_size", "target", "taken"}
     clean = docs.drop(*[c for c in docs.columns if c.lower() in names])
+    source = F.col(source_col).cast("string")
+    at = ["_mx_source", "_mx_null", "_mx_range"]  # a null source apart from an empty one, by plain equality
     keyed = clean.withColumns(
         {
             "size": size,
+            "_mx_source": F.coalesce(source, F.lit("")),
+            "_mx_null": source.isNull(),
             "_mx_key": F.md5(F.concat_ws(":", F.lit(seed), id_key(F.col(id_col)).cast("string"))),
-            "_mx_source": F.col(source_col).cast("string"),
         }
     ).withColumn("_mx_range", F.substring("_mx_key", 1, RANGE_DIGITS))
-    ranges = durable(keyed.groupBy("_mx_source", "_mx_range").agg(F.sum("size").alias("n")), "mix-ranges")
-    by_source = ranges.groupBy(F.col("_mx_source").alias("source")).agg(F.sum("n").alias("source_size"))
-    targets = source_targets(by_source, weights, share, epochs)
-    before = Window.partitionBy("_mx_source").orderBy("_mx_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = durable(keyed.groupBy(at).agg(F.sum("size").alias("n")), "mix-ranges")
+    named = F.when(~F.col("_mx_null"), F.col("_mx_source"))
+    by_source = ranges.groupBy(named.alias("source")).agg(F.sum("n").alias("source_size"))
+    targets = source_targets(by_source, weights, share, epochs).withColumns(
+        {"_mx_source": F.coalesce("source", F.lit("")), "_mx_null": F.col("source").isNull()}
+    )
+    before = Window.partitionBy("_mx_source", "_mx_null").orderBy("_mx_range").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
+    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     plan = (
-        ranges.join(targets, F.col("_mx_source").eqNullSafe(F.col("source")))
-        .withColumn("_mx_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumns(
-            {
-                "_mx_full": F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"),
-            }
-        )
+        ranges.join(targets, ["_mx_source", "_mx_null"])
+        .withColumns({"_mx_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "_mx_full": full})
         .withColumn("_mx_left", budget - F.col("_mx_full") * F.col("source_size") - F.col("_mx_before"))
-        .withColumn("_mx_cut", (F.col("_mx_left") > 0) & (F.col("_mx_left") < F.col("n")))
-        .select(
-            F.col("_mx_source").alias("_mx_s"), F.col("_mx_range").alias("_mx_r"),
-            "source_size", "target", "_mx_full", "_mx_left", "_mx_cut",
-        )
-    )
-    rows = keyed.join(plan, F.col("_mx_source").eqNullSafe(F.col("_mx_s")) & (F.col("_mx_range") == F.col("_mx_r")))
-    done = rows.filter(~F.col("_mx_cut")).withColumn(
-        "taken", F.col("size") * (F.col("_mx_full") + F.when(F.col("_mx_left") > 0, 1).otherwise(0))
-    )
-    prefix = (
-        Window.partitionBy("_mx_source", "_mx_range")
-        .orderBy("_mx_key", "size")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .select(*at, "source_size", "target", "_mx_full", "_mx_left")
     )
-    cut = rows.filter("_mx_cut").withColumn("_mx_to", F.sum("size").over(prefix) - F.col("size"))
-    cut = cut.withColumn(
+    prefix = Window.partitionBy(*at).orderBy("_mx_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("_mx_left") - (F.sum("size").over(prefix) - F.col("size"))
+    out = keyed.join(plan, at).withColumn(
         "taken",
-        F.col("size") * F.col("_mx_full")
-        + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mx_left") - F.col("_mx_to"))),
-    ).drop("_mx_to")
-    out = done.unionByName(cut).withColumn("taken", F.col("taken").cast("long"))
+        (F.col("size") * F.col("_mx_full") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long"),
+    )
     return out.drop(*[c for c in out.columns if c.startswith("_mx_")])
 
 
