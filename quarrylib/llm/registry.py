@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, line_dedup, mixing, pii, simhash
+from . import decontamination, line_dedup, mixing, pii, simhash, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op8_mix_sources": mixing.op8_mix_sources,

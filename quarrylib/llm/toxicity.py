@@ -21,6 +21,8 @@ MAX_TRAINING = 20_000
 MAX_FEATURES = 50_000
 #: Chi-squared (one degree of freedom) and texts that a feature needs.
 MIN_CHI2, MIN_TEXTS = 10.83, 3
+#: A toxic text weighs the ratio of the classes to this power in the loss.
+BALANCE = 1.0
 #: Texts are worked on so many bytes at a time.
 CHUNK = 1 << 21
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -188,13 +190,15 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING, penalty: float =
     bucket = np.concatenate([np.asarray(x, np.int64) for x in rows["buckets"]]) if width.sum() else np.empty(0, np.int64)
     row, col, value = np.repeat(np.arange(len(y)), width), column[bucket], ratio[bucket]
 
+    rise = (n0 / n1) ** BALANCE  # what a toxic text weighs
+
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, w[col] * value, len(y)) + w[-1]
         signed = np.where(y > 0, z, -z)
-        miss = (1 / (1 + np.exp(np.clip(signed, -500, 500)))) * np.where(y > 0, -1, 1)
+        miss = (1 / (1 + np.exp(np.clip(signed, -500, 500)))) * np.where(y > 0, -rise, 1)
         g = np.append(np.bincount(col, miss[row] * value, len(w) - 1), miss.sum())
         g[:-1] += penalty * w[:-1]
-        return np.logaddexp(0, -signed).sum() + penalty / 2 * (w[:-1] ** 2).sum(), g
+        return (np.logaddexp(0, -signed) * np.where(y > 0, rise, 1)).sum() + penalty / 2 * (w[:-1] ** 2).sum(), g
 
     w = _minimise(loss, np.append(np.zeros(int(wanted.sum())), np.log(n1 / n0)))
     weights = np.zeros(1 << BUCKET_BITS)
