@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, line_dedup, mixing, pii, simhash, toxicity
+from . import decontamination, line_dedup, mixing, pii, simhash, token_files, topk, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_topk": topk.op3_topk,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
+        "op7_token_files": token_files.op7_token_files,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op10_decontamination": decontamination.op10_decontamination,
     }
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_topk": topk.SQL,
         "op5_line_dedup": line_dedup.SQL,
         "op8_mix_sources": mixing.SQL,
         "op10_decontamination": decontamination.SQL,
