@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, line_dedup, mixing, pii, simhash, token_files, topk, toxicity
+from . import decontamination, line_dedup, mixing, pii, simhash, suffix_tree, token_files, topk, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_simhash": simhash.op1_simhash,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_topk": topk.op3_topk,
+        "op4_lm_scoring": suffix_tree.op4_lm_scoring,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op7_token_files": token_files.op7_token_files,
