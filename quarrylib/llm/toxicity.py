@@ -16,9 +16,9 @@ SIZES = (4, 5, 6)
 #: n-grams are hashed to so many bits.
 BUCKET_BITS = 20
 #: Labelled texts that are learnt from, at most; chosen by a hash of their id.
-MAX_TRAINING = 20_000
+MAX_TRAINING = 8_000
 #: Features that are kept, at most; those whose counts differ most between the classes.
-MAX_FEATURES = 50_000
+MAX_FEATURES = 10_000
 #: Chi-squared (one degree of freedom) and texts that a feature needs.
 MIN_CHI2, MIN_TEXTS = 10.83, 3
 #: A toxic text weighs the ratio of the classes to this power in the loss.
@@ -106,8 +106,8 @@ def _rows(wanted: np.ndarray):
             out: list[np.ndarray] = []
             for first, end, data, owner in chunks(b["text"].tolist()):
                 text, bucket = present(data, owner, wanted)
-                out += np.split(bucket.astype(np.int32), np.searchsorted(text, np.arange(1, end - first)))
-            yield pd.DataFrame({"label": b["label"], "buckets": out})
+                out += np.split(bucket.astype("<i4"), np.searchsorted(text, np.arange(1, end - first)))
+            yield pd.DataFrame({"label": b["label"], "buckets": [x.tobytes() for x in out]})
 
     return run
 
@@ -184,10 +184,10 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING, penalty: float =
     ratio[top["bucket"].to_numpy(np.int64)] = np.log(p / (n1 + 2)) - np.log(q / (n0 + 2))
     wanted = ratio != 0
     column = np.cumsum(wanted) - 1
-    rows = sample.mapInPandas(_rows(wanted), "label int, buckets array<int>").toPandas()
+    rows = sample.mapInPandas(_rows(wanted), "label int, buckets binary").toPandas()
     y = rows["label"].to_numpy(np.float64)
-    width = np.array([len(x) for x in rows["buckets"]], np.int64)
-    bucket = np.concatenate([np.asarray(x, np.int64) for x in rows["buckets"]]) if width.sum() else np.empty(0, np.int64)
+    width = rows["buckets"].str.len().to_numpy(np.int64) // 4
+    bucket = np.frombuffer(b"".join(rows["buckets"]), "<i4")
     row, col, value = np.repeat(np.arange(len(y)), width), column[bucket], ratio[bucket]
 
     rise = (n0 / n1) ** BALANCE  # what a toxic text weighs
