@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, line_dedup, mixing, pii, simhash, suffix_tree, token_files, topk, toxicity
+from . import decontamination, licenses, line_dedup, mixing, pii, simhash, suffix_tree, token_files, topk, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable]:
         "op6_pii": pii.op6_pii,
         "op7_token_files": token_files.op7_token_files,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_licenses": licenses.op9_licenses,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
