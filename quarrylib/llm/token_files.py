@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +19,13 @@ from .common import NULL_ID, durable, id_key, table, text_or_empty
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
 BLOCK_IDS = 1 << 22
 #: Words whose ids a worker remembers before it starts anew.
-MEMORY = 1_200_000
+MEMORY = 1_000_000
+#: Bytes of text that are cut into words at a time.
+CHUNK = 16 << 20
 #: Bytes of text for a partition of the sorted documents, about.
 PARTITION_BYTES = 48 << 20
-PRINTABLE = re.compile(rb"[!-~]+")
-ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-TRAILING = re.compile(rb"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SPACE, ALNUM = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 
 
 class Words(dict):
@@ -41,14 +42,13 @@ class Words(dict):
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, asked once for each different piece of a word.
-
-    ``word_split`` is for a tokenizer that drops white space and cuts words before it merges, as the
-    ``word_bpe`` vocabulary does: then texts may be cut at ASCII white space without a change of ids,
-    printable ASCII words in the pieces that its pattern makes of them (lower-cased, as it does first), and ASCII
-    punctuation from the end of a word whose character before is an ASCII letter or digit. Words
-    that may hold a special token, or letters that might compose with a following mark, go to the library as
-    they are. Without ``word_split`` every text goes to the library whole.
+    """Ids of texts by the tokenizers library, asked once for each different word.
+
+    ``word_split`` is for a tokenizer that drops white space, lower-cases and cuts words before it
+    merges, as the ``word_bpe`` vocabulary does: then texts may be cut at ASCII white space, and before a full
+    stop or comma that ends a word after an ASCII letter or digit, and A-Z be lower-cased, without a change
+    of ids. Texts that may hold a special token, or a mark that might compose with a letter, keep
+    their case. Without ``word_split`` every text goes to the library whole.
     """
 
     def __init__(self, path: str, word_split: bool = True):
@@ -60,73 +60,68 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.pieces = Words(), {}
+        self.words = Words()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
-
-    def ask(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def cut(self, word: bytes) -> list[bytes]:
-        if b"<|" in word:
-            return [word]
-        if PRINTABLE.fullmatch(word):
-            return ASCII_PIECES.findall(word.translate(AZ))
-        if b"\xcc" in word or b"\xcd" in word:
-            return [word]
-        if m := TRAILING.fullmatch(word):
-            return [m[1].translate(AZ), m[2]]
-        return [word.translate(AZ)]
+        self.starts, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+
+    def ask(self, texts: list[bytes]) -> list[list[int]]:
+        decoded = [t.decode("utf-8", "surrogatepass") for t in texts]
+        return [e.ids for e in self.library.encode_batch_fast(decoded, add_special_tokens=False)]
 
     def learn(self) -> None:
         """Ids for the words that came up since the last time."""
         fresh = self.words.fresh
-        cuts = [self.cut(w) for w in fresh]
-        new = list({p for c in cuts for p in c if p not in self.pieces})
-        for i in range(0, len(new), 1 << 14):
-            part = new[i : i + (1 << 14)]
-            self.pieces.update(zip(part, self.ask([p.decode("utf-8", "surrogatepass") for p in part]), strict=True))
-        ids: list[int] = []
-        sizes = []
-        for c in cuts:
-            before = len(ids)
-            for p in c:
-                ids += self.pieces[p]
-            sizes.append(len(ids) - before)
-        first, end = len(self.words) - len(fresh), len(self.words)
-        while end > len(self.starts):
+        first = len(self.words) - len(fresh)
+        while len(self.words) > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.sizes[first:end] = sizes
-        self.starts[first:end] = self.used + np.cumsum(self.sizes[first:end]) - self.sizes[first:end]
-        self.used += len(ids)
+        for i in range(0, len(fresh), 1 << 13):
+            ids = self.ask(fresh[i : i + (1 << 13)])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            n, at = int(sizes.sum()), slice(first + i, first + i + len(ids))
+            while self.used + n > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
+            self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
+            self.used += n
         fresh.clear()
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end_id`` after each, and how many each has with it."""
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if not self.word_split:
-            each = [np.array([*x, end_id], np.uint32) for x in self.ask([t.decode("utf-8", "surrogatepass") for t in texts])]
-            return np.concatenate(each) if each else np.empty(0, np.uint32), np.array([len(x) for x in each], np.int64)
+            each = [np.array([*x, end_id], np.uint32) for x in self.ask(texts)]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         if len(self.words) > MEMORY:
             self.forget()
         if not self.words:
             self.words[b""] = 0  # stands for the end of a text
             self.flat[0], self.used, self.starts[0], self.sizes[0] = end_id, 1, 0, 1
-        number, codes, counts = self.words.__getitem__, [], []
-        for t in texts:
-            before = len(codes)
-            codes.extend(map(number, t.split()))
-            codes.append(0)
-            counts.append(len(codes) - before)
+        parts = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.translate(AZ) for t in texts]
+        x = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in parts])
+        space = SPACE[x]
+        start = ~space
+        start[1:] &= space[:-1]
+        stop = np.flatnonzero((x == 46) | (x == 44))
+        stop = stop[stop > 0]
+        start[stop[ALNUM[x[stop - 1]] & space[stop + 1]]] = True
+        cuts = np.flatnonzero(space | start)
+        word = np.flatnonzero(start[cuts])
+        starts = cuts[word]
+        offsets = np.zeros(len(word) + 1, np.int32)
+        np.cumsum(cuts[np.minimum(word + 1, len(cuts) - 1)] - starts, out=offsets[1:])
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(x[~space])]
+        coded = pa.Array.from_buffers(pa.binary(), len(word), buffers).dictionary_encode()
+        numbers = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         self.learn()
-        codes = np.array(codes, np.int64)
-        sizes = self.sizes[codes]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        last = np.cumsum(np.array(counts, np.int64)) - 1
-        return self.flat[at], np.diff(ends[last], prepend=0)
+        last = np.searchsorted(starts, ends)
+        codes = np.insert(numbers[coded.indices.to_numpy()], last, 0)
+        sizes = self.sizes[codes].astype(np.int64)
+        done = np.cumsum(sizes)
+        at = np.repeat(self.starts[codes] - (done - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], np.diff(done[last + np.arange(len(last))], prepend=0)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -139,6 +134,17 @@ def _encoder(path: str, word_split: bool) -> Encoder:
     return _encoders[path, word_split]
 
 
+def _runs(text: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about CHUNK bytes."""
+    sizes = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(sizes):
+        before = sizes[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(sizes, before + CHUNK, "right")))
+        yield i, j
+        i = j
+
+
 BLOCKS = "block long, keys binary, sizes binary, n_ids long, data binary"
 
 
@@ -155,8 +161,8 @@ def _write(path: str, end_id: int, word_split: bool):
         number, keys, sizes, ids, held = 0, [], [], [], 0
         for b in batches:
             key, text = b.column(0).to_numpy(), b.column(1)
-            for i in range(0, len(text), 1024):
-                got, each = encoder.encode(text.slice(i, 1024).to_pylist(), end_id)
+            for i, j in _runs(text):
+                got, each = encoder.encode(text.slice(i, j - i).to_pylist(), end_id)
                 done = 0
                 while done < len(each):  # whole documents until the block is full
                     ends = np.cumsum(each[done:])
