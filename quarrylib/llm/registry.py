@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+
 from . import decontamination, licenses, line_dedup, mixing, pii, simhash, suffix_tree, token_files, topk, toxicity
 
 
@@ -19,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_licenses": licenses.op9_licenses,
         "op10_decontamination": decontamination.op10_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 
