@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def add(df: DataFrame, **cols: Column) -> DataFrame:
-    """withColumns that replaces columns of the same name, whatever their case."""
-    return df.withColumns(cols)
+AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+
+
+def split_words(
+    texts: list[bytes], more: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[pa.Array, np.ndarray]:
+    """The words between ASCII white space of some texts, in one array, and how many words each text has.
+
+    ``more``, of all bytes and whether each is white space, gives places inside words where another begins.
+    """
+    x = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    space = IS_SPACE[x]
+    start = ~space
+    start[1:] &= space[:-1]
+    if more is not None:
+        start[more(x, space)] = True
+    cuts = np.flatnonzero(space | start)
+    word = np.flatnonzero(start[cuts])
+    starts = cuts[word]
+    offsets = np.zeros(len(word) + 1, np.int32)
+    np.cumsum(cuts[np.minimum(word + 1, len(cuts) - 1)] - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(x[~space])])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def text_runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of texts of so many bytes, each of about ``most`` in all."""
+    total, out, i = np.cumsum(sizes), [], 0
+    while i < len(total):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        out.append((i, j))
+        i = j
+    return out

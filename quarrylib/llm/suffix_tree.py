@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, id_key, lower_az, table, text_or_empty
+from .common import AZ, NULL_ID, durable, id_key, split_words, table, text_or_empty, text_runs
 
-AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Symbols: the end of a text, then the classes of rare words, then frequent words. NOTHING stands before a text.
 END, CLASSES, NOTHING = 0, 256, 0xFFFF
 #: Symbols of a context at most; a context with the symbol after it fills 64 bits.
@@ -25,80 +26,64 @@ MIN_SHARE = 2e-4
 #: count is short by at most this share of all training tokens.
 SLACK = 2e-6
 CHUNK = 1 << 22
-#: Words of at least this share of the training tokens are broadcast for the base: 1 / HEAVY at most.
+#: Words of at least this share of the training tokens are broadcast with their counts: 1 / HEAVY at most.
 HEAVY = 1e-5
-POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
+#: Bytes of text that are cut into words at a time.
+BYTES = 16 << 20
 
 
-# ---------------------------------------------------------------- symbols
+# ---------------------------------------------------------------- words and symbols
 
 
-def word_hash(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by its bytes and their places in it."""
-    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
-    inside = place < np.repeat(sizes, np.diff(np.append(starts, len(x))))
-    power = POWERS[place & 4095] ^ (place >> 12).astype(np.uint64)
-    mixed = np.where(inside, (x.astype(np.uint64) + np.uint64(1)) * power, np.uint64(0))
-    h = np.add.reduceat(mixed, starts)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def class_column(word: Column) -> Column:
+    """The class of a rare word (binary), by its last two bytes."""
+    tail = F.conv(F.hex(F.substring(word, -2, 2)), 16, 10).cast("long")
+    return F.shiftright(F.pmod(tail * F.lit(2654435761), F.lit(1 << 32)), 24).cast("int")
 
 
-def class_of(last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """The class of a rare word, by its last two bytes (0 for a missing one); as in ``class_column``."""
-    v = before.astype(np.uint64) * np.uint64(256) + last.astype(np.uint64)
-    return ((v * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``class_column`` of an array of words."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    x = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.empty(0, np.uint8)
+    last, size = ends[1:] - 1, np.diff(ends)
+    v = x[last].astype(np.uint64) + np.where(size > 1, x[np.maximum(last - 1, 0)], 0).astype(np.uint64) * np.uint64(256)
+    return (((v * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)).astype(np.int64)
 
 
-def class_column(word: Column) -> Column:
-    tail = F.conv(F.hex(F.substring(word.cast("binary"), -2, 2)), 16, 10).cast("long")
-    return F.shiftright(F.pmod(tail * F.lit(2654435761), F.lit(1 << 32)), 24).cast("int")
+class Lexicon:
+    """The words that are broadcast: their counts, and the symbols of those that are frequent."""
+
+    def __init__(self, words: list[bytes], counts: list[int], frequent: float):
+        order = sorted(range(len(words)), key=words.__getitem__)
+        self.words = pa.array([words[i] for i in order], pa.binary())
+        self.counts = np.array([counts[i] for i in order], np.float64)
+        own = self.counts >= frequent
+        self.symbol = np.where(own, CLASSES + np.cumsum(own), 0)
+        self.symbols = 1 + CLASSES + int(own.sum())
+
+    def read(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' words; each one's place here, or -1; its symbol; how many words each text has."""
+        words, sizes = split_words([t.translate(AZ) for t in texts])
+        coded = words.dictionary_encode()
+        different = pc.index_in(coded.dictionary, self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        symbol = 1 + classes_of(coded.dictionary)
+        if len(self.words):
+            own = np.where(different >= 0, self.symbol[different], 0)
+            symbol = np.where(own > 0, own, symbol)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        return words, different[codes], symbol[codes], sizes
 
 
-class Symbols:
-    """Symbols of the words of texts."""
-
-    def __init__(self, frequent: list[str]):
-        words = [w.encode() for w in frequent]
-        self.count = 1 + CLASSES + len(words)
-        self.hashes, self.order = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if words:
-            x = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
-            sizes = np.array([len(w) for w in words])
-            hashes = word_hash(x, np.cumsum(sizes + 1) - sizes - 1, sizes)
-            self.order = np.argsort(hashes)
-            self.hashes = hashes[self.order]
-
-    def of(self, texts: list[str | None]) -> np.ndarray:
-        """END, then for each text its words' symbols and END."""
-        parts = [b"\n"]
-        for t in texts:
-            words = b" ".join((t or "").encode("utf-8", "surrogatepass").translate(AZ).split())
-            parts.append(words + b" \n" if words else b"\n")
-        x = np.frombuffer(b"".join(parts), np.uint8)
-        cuts = np.flatnonzero((x == 32) | (x == 10))  # each word ends at one; an END is a cut right after a cut
-        starts = np.append(0, cuts[:-1] + 1)
-        sizes = cuts - starts
-        word = np.flatnonzero(sizes)
-        out = np.zeros(len(cuts), np.int64)
-        if len(word):
-            h = word_hash(x, starts, sizes)[word]
-            end = cuts[word]
-            out[word] = 1 + class_of(x[end - 1], np.where(sizes[word] > 1, x[end - 2], 0)).astype(np.int64)
-            if len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                out[word[hit]] = 1 + CLASSES + self.order[at[hit]]
-        return out
-
-
-def runs(texts: list[str | None], most: int = 1 << 23) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
-        if size >= most or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
+def ended(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """END, then each text's symbols and END."""
+    return np.insert(symbols, np.concatenate(([0], np.cumsum(sizes))), END)
+
+
+def chunks(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of a batch's texts of about ``BYTES``."""
+    text = batch.column(name)
+    for a, b in text_runs(pc.binary_length(text).to_numpy(zero_copy_only=False), BYTES):
+        yield a, b, text.slice(a, b - a).to_pylist()
 
 
 # ---------------------------------------------------------------- counts
@@ -146,23 +131,28 @@ def count(code: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def counted(texts: Iterator[list[str | None]], symbols: Symbols) -> Iterator[pd.DataFrame]:
-    held: list[np.ndarray] = []
-    size = 0
+def counted(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            n, value, number = count(np.concatenate(held), max(1.0, SLACK * size))
+            columns = [n.astype(np.int8), value.view(np.int64), number.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "gram", "number"])
 
-    def out() -> pd.DataFrame:
-        n, value, number = count(np.concatenate(held), max(1.0, SLACK * size))
-        return pd.DataFrame({"n": n.astype(np.int8), "gram": value.view(np.int64), "number": number})
+        for batch in batches:
+            for _, _, texts in chunks(batch):
+                _, _, symbols, sizes = lexicon.read(texts)
+                held.append(grams(ended(symbols, sizes)))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
-    for part in texts:
-        for a, b in runs(part):
-            held.append(grams(symbols.of(part[a:b])))
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield out()
-                held, size = [], 0
-    if size:
-        yield out()
+    return run
 
 
 # ---------------------------------------------------------------- the tree
@@ -172,20 +162,10 @@ def counted(texts: Iterator[list[str | None]], symbols: Symbols) -> Iterator[pd.
 class Tree:
     """Kept contexts by length (packed, latest highest), and each one's log10 distribution; state 0 is the root."""
 
-    symbols: Symbols
     keys: list[np.ndarray]
     states: list[np.ndarray]
     log10: np.ndarray
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text's symbols and its end."""
-        out = np.zeros(len(texts))
-        for a, b in runs(texts):
-            s = self.symbols.of(texts[a:b])
-            if b > a:
-                out[a:b] = np.add.reduceat(self.each(s), np.flatnonzero(s == END)[:-1])
-        return out
-
     def each(self, s: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol but the first, in the state of its longest kept suffix."""
         code = grams(s)
@@ -200,8 +180,8 @@ class Tree:
         return self.log10[state, s[1:]].astype(np.float64)
 
 
-def grow(rows: pd.DataFrame, symbols: Symbols, min_share: float = MIN_SHARE) -> Tree:
-    """The tree of n-gram counts ``n, gram, number``.
+def grow(rows: pd.DataFrame, width: int, min_share: float = MIN_SHARE) -> Tree:
+    """The tree of n-gram counts ``n, gram, number`` over ``width`` symbols.
 
     A context is kept if it has ``min_share`` of all places and its next symbols diverge from those
     after its longest kept proper suffix: their divergence, times its number, must exceed what its own
@@ -209,7 +189,6 @@ def grow(rows: pd.DataFrame, symbols: Symbols, min_share: float = MIN_SHARE) ->
     Its distribution is its counts, each less a half, and what is left of its number shared as after
     that suffix (absolute discounting). The root's rests on the uniform one.
     """
-    width = symbols.count
     n, number = rows["n"].to_numpy(), rows["number"].to_numpy(np.int64)
     gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
     log10 = []
@@ -229,7 +208,7 @@ def grow(rows: pd.DataFrame, symbols: Symbols, min_share: float = MIN_SHARE) ->
     for d in range(1, DEPTH + 1):
         # a context of d symbols: its own number is that of its n-gram, its next symbols those of the n-grams one longer
         longer = n == d + 1
-        past = (gram[longer] << np.uint64(16)) >> np.uint64(0)
+        past = (gram[longer] << np.uint64(16)) 
         order = np.argsort(past, kind="stable")
         past, after = past[order], (gram[longer][order] >> np.uint64(16 * DEPTH)).astype(np.int64)
         numbers = number[longer][order]
@@ -260,19 +239,22 @@ def grow(rows: pd.DataFrame, symbols: Symbols, min_share: float = MIN_SHARE) ->
                 log10.append(np.log10(dist))
         keys.append(np.array(kept, np.uint64))
         states.append(np.array(at, np.int64))
-    return Tree(symbols, keys, states, np.array(log10, np.float32))
+    return Tree(keys, states, np.array(log10, np.float32))
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(lower_az(text_or_empty(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, texts in chunks(batch):
+            words, _ = split_words([t.translate(AZ) for t in texts])
+            yield pa.RecordBatch.from_arrays(pc.value_counts(words).flatten(), ["word", "c"])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, c`` over all texts of ``docs(text)``, summed before the shuffle."""
-    return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word`` (binary), ``c`` over all of ``text`` (binary), summed by chunks and before the shuffle."""
+    return texts.select("text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def rare_shares(counts: DataFrame, least: float) -> pd.DataFrame:
@@ -311,71 +293,103 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     words, at most ``1 / HEAVY``, are broadcast, all others meet their counts by an equi-join, where
     none is frequent.
     """
+    text = text_or_empty(F.col(text_col))
     rows = docs.select(
-        id_key(F.col(id_col)).alias("key"), F.xxhash64(text_or_empty(F.col(text_col))).alias("text_hash"),
-        text_or_empty(F.col(text_col)).alias("text"), F.coalesce(learn, F.lit(True)).alias("learnt"),
+        id_key(F.col(id_col)).alias("key"), F.xxhash64(text).alias("text_hash"), F.coalesce(learn, F.lit(True)).alias("learnt"),
+        text.cast("binary").alias("text"),
     )
-    counts = durable(word_counts(rows.filter("learnt")), "word-counts")
+    training = rows.filter("learnt").select("text")
+    counts = durable(word_counts(training), "word-counts")
     sums = counts.agg(F.sum("c"), F.count("*")).first()
-    ends = rows.filter("learnt").count()
+    ends = training.count()
     n_train, v = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    own = max(1.0, FREQUENT * n_train)
-    symbols = Symbols(sorted(r[0] for r in counts.filter(F.col("c") >= own).select("word").collect()))
+    own, least = max(1.0, FREQUENT * n_train), max(1.0, HEAVY * n_train)
+    heavy = counts.filter(F.col("c") >= least).toPandas()
+    lexicon = Lexicon([bytes(w) for w in heavy["word"]], heavy["c"].tolist(), own)
 
     few = max(1, n_train // (2 * CHUNK))
-    count_rows = lambda batches: counted((b["text"].tolist() for b in batches), symbols)
-    tree_counts = (
-        rows.filter("learnt").select("text").coalesce(int(few))
-        .mapInPandas(count_rows, "n byte, gram long, number long")
+    grams_found = (
+        training.coalesce(int(few))
+        .mapInArrow(counted(lexicon), "n byte, gram long, number long")
         .groupBy("n", "gram").agg(F.sum("number").alias("number"))
         .filter(F.col("number") >= max(1.0, 4 * SLACK * n_train))  # at most DEPTH / (4 * SLACK) rows
     )
-    tree = grow(tree_counts.toPandas(), symbols, min_share)
-    model = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[["key", "text_hash", "learnt"]].assign(tree=model.value.scores(b["text"].tolist()))
-
-    scored = rows.mapInPandas(run, "key long, text_hash long, learnt boolean, tree double")
-    scored = scored.groupBy("key", "text_hash").agg(
-        F.count("*").alias("rows"), F.first("learnt").alias("learnt"), F.first("tree").alias("tree")
-    )
-    # log10 of each word's base numerator, and of its probability in its class if it has one
+    tree = grow(grams_found.toPandas(), lexicon.symbols, min_share)
     shares = rare_shares(counts, own)
+    model = docs.sparkSession.sparkContext.broadcast((lexicon, tree, shares))
+    each = durable(rows.mapInArrow(_scored(model), SCORED), "lm-rows")
+
+    # words that aren't broadcast meet their counts
+    at = ["key", "text_hash"]
     factor = lambda column: F.get(F.array(*[F.lit(float(x)) for x in shares[column]]), class_column(F.col("word")))
-    rated = counts.select(
-        "word", "c", F.log10(F.col("c") + 0.1).alias("lc"),
-        F.when(F.col("c") < own, F.log10("c") + factor("known")).otherwise(0.0).alias("lw"),
+    light = counts.filter(F.col("c") < least).select(
+        "word", F.log10(F.col("c") + 0.1).alias("lc"), F.when(F.col("c") < own, F.log10("c") + factor("known")).otherwise(0.0).alias("lw")
     )
-    least = max(1.0, HEAVY * n_train)
-    heavy = F.broadcast(rated.filter(F.col("c") >= least).drop("c"))
-    light = rated.filter(F.col("c") < least).drop("c")
-    at = ["key", "text_hash"]
-    sum_up = [F.sum("lc").alias("lc"), F.sum("lw").alias("lw"), F.sum("n").alias("n")]
-    tokens = rows.select(*at, F.explode(words_of(F.col("text"))).alias("word"))
-    often = tokens.join(heavy, "word").groupBy(at).agg(F.sum("lc").alias("lc"), F.sum("lw").alias("lw"), F.count("*").alias("n"))
     seldom = (
-        tokens.join(heavy, "word", "left_anti").join(light, "word", "left")
-        .select(*at, F.coalesce("lc", F.lit(0.0)).alias("lc"), F.coalesce("lw", factor("new")).alias("lw"), F.when(F.col("lc").isNull(), 0).otherwise(1).alias("n"))
-        .groupBy(at).agg(*sum_up)
+        each.select(*at, F.explode("rare").alias("word")).join(light, "word", "left")
+        .select(*at, F.coalesce("lc", F.lit(-1.0)).alias("lc"), F.coalesce("lw", factor("new")).alias("lw"), F.when(F.col("lc").isNull(), 0).otherwise(1).alias("n"))
+        .groupBy(at).agg(F.sum("lc").alias("rare_lc"), F.sum("lw").alias("rare_lw"), F.sum("n").alias("rare_n"))
     )
-    known = often.unionByName(seldom).groupBy(at).agg(*sum_up)
-    size = rows.select(*at, (F.size(words_of(F.col("text"))) + 1).cast("long").alias("n_tokens")).distinct()
-    joined = scored.join(size, at).join(known, at, "left")
+    firsts = [F.first(c).alias(c) for c in ("learnt", "n_tokens", "tree", "lc", "lw", "n")]
+    joined = each.groupBy(at).agg(F.count("*").alias("rows"), *firsts).join(seldom, at, "left")
     scale, end = float(np.log10(n_train + 0.1 * (v + 1))), float(np.log10(ends + 0.1))
     # rows that repeat id and text were summed together
-    n_known = (F.coalesce("n", F.lit(0)) / F.col("rows")).cast("long") + (1 if ends else 0)
-    of_known = F.coalesce("lc", F.lit(0.0)) / F.col("rows") + (F.lit(end) if ends else F.lit(0.0))
-    out = joined.withColumns({"n_known": n_known, "of_known": of_known}).select(
-        "key", "learnt", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("of_known") - (F.col("n_tokens") - F.col("n_known")) - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("tree") + F.coalesce("lw", F.lit(0.0)) / F.col("rows")).alias("score"),
+    rare = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("rows")
+    out = joined.select(
+        "key", "learnt", "n_tokens",
+        (F.col("n") + rare("rare_n") + (1 if ends else 0)).cast("long").alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("lc") + rare("rare_lc") + end - F.col("n_tokens") * scale).alias("base_score"),
+        (F.col("tree") + F.col("lw") + rare("rare_lw")).alias("score"),
         F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("copy"),
     )
     return out.drop("copy")
 
 
+SCORED = (
+    "key long, text_hash long, learnt boolean, n_tokens long, tree double, lc double, lw double, n long, rare array<binary>"
+)
+
+
+def _scored(model):
+    """Of each text: its tokens, the tree's score, and of its broadcast words the sums of the log10 of their
+
+    base numerators (``lc``) and of their probabilities in their class (``lw``, 0 for symbols), and their
+    number; the other words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, tree, shares = model.value
+        lc = np.log10(lexicon.counts + 0.1)
+        known = shares["known"].to_numpy()[classes_of(lexicon.words)] if len(lexicon.words) else np.empty(0)
+        lw = np.where(lexicon.symbol > 0, 0.0, np.log10(lexicon.counts) + known)
+        for batch in batches:
+            for a, b, texts in chunks(batch):
+                words, place, symbols, sizes = lexicon.read(texts)
+                ends = np.cumsum(sizes)
+                here = place >= 0
+
+                first = ends - sizes + np.arange(len(ends))  # of each text, with a place more for its end
+
+                def total(x: np.ndarray, ends=ends, first=first) -> np.ndarray:
+                    return np.add.reduceat(np.insert(x, ends, 0), first)
+
+                if len(lexicon.words):
+                    sums = [total(np.where(here, v[place], 0.0)) for v in (lc, lw)]
+                else:
+                    sums = [np.zeros(b - a)] * 2
+                rare = words.filter(pa.array(~here))
+                offsets = np.concatenate(([0], np.cumsum(total((~here).astype(np.int64))))).astype(np.int32)
+                columns = [
+                    *(batch.column(c).slice(a, b - a) for c in ("key", "text_hash", "learnt")),
+                    pa.array(sizes + 1), pa.array(np.add.reduceat(tree.each(ended(symbols, sizes)), first)), *map(pa.array, sums),
+                    pa.array(total(here.astype(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), rare),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "learnt", "n_tokens", "tree", "lc", "lw", "n", "rare"])
+
+    return run
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     out = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)

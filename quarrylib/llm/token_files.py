@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import NULL_ID, durable, id_key, table, text_or_empty
+from .common import AZ, NULL_ID, durable, id_key, split_words, table, text_or_empty, text_runs
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
 BLOCK_IDS = 1 << 22
@@ -24,8 +24,14 @@ MEMORY = 1_000_000
 CHUNK = 16 << 20
 #: Bytes of text for a partition of the sorted documents, about.
 PARTITION_BYTES = 48 << 20
-AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SPACE, ALNUM = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+
+
+def stops(x: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Full stops and commas at the end of words, after an ASCII letter or digit."""
+    at = np.flatnonzero((x == 46) | (x == 44))
+    at = at[at > 0]
+    return at[ALNUM[x[at - 1]] & space[at + 1]]
 
 
 class Words(dict):
@@ -98,24 +104,11 @@ class Encoder:
             self.words[b""] = 0  # stands for the end of a text
             self.flat[0], self.used, self.starts[0], self.sizes[0] = end_id, 1, 0, 1
         parts = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.translate(AZ) for t in texts]
-        x = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in parts])
-        space = SPACE[x]
-        start = ~space
-        start[1:] &= space[:-1]
-        stop = np.flatnonzero((x == 46) | (x == 44))
-        stop = stop[stop > 0]
-        start[stop[ALNUM[x[stop - 1]] & space[stop + 1]]] = True
-        cuts = np.flatnonzero(space | start)
-        word = np.flatnonzero(start[cuts])
-        starts = cuts[word]
-        offsets = np.zeros(len(word) + 1, np.int32)
-        np.cumsum(cuts[np.minimum(word + 1, len(cuts) - 1)] - starts, out=offsets[1:])
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(x[~space])]
-        coded = pa.Array.from_buffers(pa.binary(), len(word), buffers).dictionary_encode()
+        words, counts = split_words(parts, stops)
+        coded = words.dictionary_encode()
         numbers = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         self.learn()
-        last = np.searchsorted(starts, ends)
+        last = np.cumsum(counts)
         codes = np.insert(numbers[coded.indices.to_numpy()], last, 0)
         sizes = self.sizes[codes].astype(np.int64)
         done = np.cumsum(sizes)
@@ -134,17 +127,6 @@ def _encoder(path: str, word_split: bool) -> Encoder:
     return _encoders[path, word_split]
 
 
-def _runs(text: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about CHUNK bytes."""
-    sizes = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < len(sizes):
-        before = sizes[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(sizes, before + CHUNK, "right")))
-        yield i, j
-        i = j
-
-
 BLOCKS = "block long, keys binary, sizes binary, n_ids long, data binary"
 
 
@@ -161,7 +143,7 @@ def _write(path: str, end_id: int, word_split: bool):
         number, keys, sizes, ids, held = 0, [], [], [], 0
         for b in batches:
             key, text = b.column(0).to_numpy(), b.column(1)
-            for i, j in _runs(text):
+            for i, j in text_runs(pc.binary_length(text).to_numpy(zero_copy_only=False), CHUNK):
                 got, each = encoder.encode(text.slice(i, j - i).to_pylist(), end_id)
                 done = 0
                 while done < len(each):  # whole documents until the block is full
