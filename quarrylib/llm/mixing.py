@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, id_key, table, text_or_empty, word_count
+from .common import id_key, table, text_or_empty, word_count
 
 #: Hexadecimal digits of the random key that name its range.
 RANGE_DIGITS = 3
@@ -93,7 +93,7 @@ def mix_sources(
             "_mx_key": F.md5(F.concat_ws(":", F.lit(seed), id_key(F.col(id_col)).cast("string"))),
         }
     ).withColumn("_mx_range", F.substring("_mx_key", 1, RANGE_DIGITS))
-    ranges = durable(keyed.groupBy(at).agg(F.sum("size").alias("n")), "mix-ranges")
+    ranges = keyed.groupBy(at).agg(F.sum("size").alias("n"))  # its exchange serves both uses
     named = F.when(~F.col("_mx_null"), F.col("_mx_source"))
     by_source = ranges.groupBy(named.alias("source")).agg(F.sum("n").alias("source_size"))
     targets = source_targets(by_source, weights, share, epochs).withColumns(
