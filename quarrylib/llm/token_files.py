@@ -21,17 +21,21 @@ BLOCK_IDS = 1 << 22
 #: Words whose ids a worker remembers before it starts anew.
 MEMORY = 1_000_000
 #: Bytes of text that are cut into words at a time.
-CHUNK = 16 << 20
+CHUNK = 6 << 20
 #: Bytes of text for a partition of the sorted documents, about.
 PARTITION_BYTES = 48 << 20
 ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+#: ASCII punctuation but for the apostrophe, which contractions begin with, and the bar of special tokens.
+MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"))
 
 
 def stops(x: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Full stops and commas at the end of words, after an ASCII letter or digit."""
-    at = np.flatnonzero((x == 46) | (x == 44))
-    at = at[at > 0]
-    return at[ALNUM[x[at - 1]] & space[at + 1]]
+    """Runs of punctuation at the end of words, after an ASCII letter or digit."""
+    mark = MARKS[x]
+    edge = np.flatnonzero(mark[1:] != mark[:-1]) + 1  # x ends with a space, so runs are whole
+    first, after = edge[mark[edge]], edge[~mark[edge]]
+    after = after[len(after) - len(first) :]  # a run at the very start has no letter before
+    return first[ALNUM[x[first - 1]] & space[after]]
 
 
 class Words(dict):
@@ -51,9 +55,9 @@ class Encoder:
     """Ids of texts by the tokenizers library, asked once for each different word.
 
     ``word_split`` is for a tokenizer that drops white space, lower-cases and cuts words before it
-    merges, as the ``word_bpe`` vocabulary does: then texts may be cut at ASCII white space, and before a full
-    stop or comma that ends a word after an ASCII letter or digit, and A-Z be lower-cased, without a change
-    of ids. Texts that may hold a special token, or a mark that might compose with a letter, keep
+    merges, as the ``word_bpe`` vocabulary does: then texts may be cut at ASCII white space and before
+    punctuation that ends a word after an ASCII letter or digit, and A-Z be lower-cased, without a
+    change of ids. Texts that may hold a special token, or a mark that might compose with a letter, keep
     their case. Without ``word_split`` every text goes to the library whole.
     """
 
