@@ -26,7 +26,7 @@ import numpy as np
 
 MAGIC = b"TKB1"
 #: Lanes of a block, and the steps a lane should have at least.
-LANES, STEPS = 8192, 192
+LANES, STEPS = 16384, 192
 #: Resolution of the mixture and of order 0; ids must be below 1 << MAX_BITS.
 BITS, BITS0, MAX_BITS = 12, 20, 17
 #: Least weight that order 0 has of 1 << BITS.

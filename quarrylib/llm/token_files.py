@@ -17,9 +17,11 @@ from . import range_coder
 from .common import AZ, NULL_ID, durable, id_key, split_words, table, text_or_empty, text_runs
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
-BLOCK_IDS = 1 << 22
+BLOCK_IDS = 1 << 23
 #: Words whose ids a worker remembers before it starts anew.
 MEMORY = 1_000_000
+#: Words that the library is asked for at a time.
+BATCH = 256
 #: Bytes of text that are cut into words at a time.
 CHUNK = 6 << 20
 #: Bytes of text for a partition of the sorted documents, about.
@@ -67,6 +69,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.word_split = word_split
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.mark = next(((t, i) for t, i in special.items() if word_split and t.startswith("<")), None)
         self.forget()
 
     def forget(self) -> None:
@@ -74,9 +78,19 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
 
-    def ask(self, texts: list[bytes]) -> list[list[int]]:
+    def ask(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of some texts, one after the other, and how many each has.
+
+        Texts without special tokens go as one, with a special token between them, which parts them.
+        """
         decoded = [t.decode("utf-8", "surrogatepass") for t in texts]
-        return [e.ids for e in self.library.encode_batch_fast(decoded, add_special_tokens=False)]
+        if self.mark and not any(b"<" in t for t in texts):
+            ids = np.array(self.library.encode_batch_fast([self.mark[0].join(decoded)], add_special_tokens=False)[0].ids, np.uint32)
+            inside = ids != self.mark[1]
+            return ids[inside], np.diff(np.flatnonzero(~inside), prepend=-1, append=len(ids)) - 1
+        each = [e.ids for e in self.library.encode_batch_fast(decoded, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
     def learn(self) -> None:
         """Ids for the words that came up since the last time."""
@@ -84,13 +98,12 @@ class Encoder:
         first = len(self.words) - len(fresh)
         while len(self.words) > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        for i in range(0, len(fresh), 1 << 13):
-            ids = self.ask(fresh[i : i + (1 << 13)])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, at = int(sizes.sum()), slice(first + i, first + i + len(ids))
+        for i in range(0, len(fresh), BATCH):
+            ids, sizes = self.ask(fresh[i : i + BATCH])
+            n, at = len(ids), slice(first + i, first + i + len(sizes))
             while self.used + n > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
+            self.flat[self.used : self.used + n] = ids
             self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
             self.used += n
         fresh.clear()
@@ -100,8 +113,8 @@ class Encoder:
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         if not self.word_split:
-            each = [np.array([*x, end_id], np.uint32) for x in self.ask(texts)]
-            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            ids, sizes = self.ask(texts)
+            return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
         if len(self.words) > MEMORY:
             self.forget()
         if not self.words:
