@@ -18,11 +18,11 @@ def fold(path: Column) -> Column:
     rooted = slashed(path).startswith("/")
 
     def step(acc: Column, p: Column) -> Column:
-        back = (p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
+        back = (p == "..") & (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) != "..")
         drop = (p == "..") & (F.size(acc) == 0) & rooted
         return F.when(back, F.slice(acc, F.lit(1), F.size(acc) - 1)).when(drop, acc).otherwise(F.concat(acc, F.array(p)))
 
-    done = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(F.size(a) == 0, F.when((p == "..") & rooted, a).otherwise(F.array(p))).otherwise(step(a, p)))
+    done = F.aggregate(parts, F.array().cast("array<string>"), step)
     return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(done, "/"))
 
 
@@ -46,7 +46,7 @@ def extension(path: Column) -> Column:
 def resolve(base_dir: Column, path: Column) -> Column:
     """A path, relative to a folder unless it is absolute, folded."""
     p = slashed(path)
-    return fold(F.when(p.startswith("/"), p).otherwise(F.concat(base_dir, F.lit("/"), p)))
+    return fold(F.when(p.startswith("/") | (base_dir == ""), p).otherwise(F.concat(base_dir, F.lit("/"), p)))
 
 
 def relative(path: Column, root: str) -> Column:

@@ -1,7 +1,9 @@
 """Graph operators over ``edges(src, dst)``: degrees, closure, cycles, layers, neighbourhoods, paths.
 
-Edges of any orderable type; a dependency points from ``src`` to what it needs, ``dst``. Loops over rounds
-keep only a row count on the driver; each round is written (``durable``), so no plan grows.
+Edges of any orderable type; a dependency points from ``src`` to what it needs, ``dst``. Cycles, layers and the
+critical path are made in one pass on the driver while there are at most ``LOCAL_EDGES`` different edges,
+which is checked first; a graph of projects is of that size. Larger graphs go in rounds of joins, of which the
+driver keeps a row count only; each round is written (``durable``), so no plan grows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,77 @@ from quarrylib.session import durable
 
 from .components import connected_components  # noqa: F401
 
+LOCAL_EDGES = 100_000
+
+
+def _few(edges: DataFrame) -> list[tuple] | None:
+    """The different edges, if there are at most ``LOCAL_EDGES``."""
+    rows = edges.select("src", "dst").distinct().limit(LOCAL_EDGES + 1).collect()
+    return [(r[0], r[1]) for r in rows] if len(rows) <= LOCAL_EDGES else None
+
+
+def _table(like: DataFrame, rows: list[tuple], *columns: str, **more: str) -> DataFrame:
+    kind = like.schema["src"].dataType.simpleString()
+    schema = ", ".join([*(f"{c} {kind}" for c in columns), *(f"{c} {t}" for c, t in more.items())])
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def _parts(edges: list[tuple]) -> dict:
+    """The least node of each node's strong component, by an iterative depth-first search (Tarjan's)."""
+    out: dict[object, list] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    order, low, part, stack = {}, {}, {}, []
+    for root in out:
+        if root in order:
+            continue
+        work = [(root, iter(out[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        while work:
+            node, rest = work[-1]
+            for to in rest:
+                if to not in order:
+                    order[to] = low[to] = len(order)
+                    stack.append(to)
+                    work.append((to, iter(out[to])))
+                    break
+                if to not in part:
+                    low[node] = min(low[node], order[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
+                    least = min(members)
+                    part.update(dict.fromkeys(members, least))
+    return part
+
+
+def _levels(edges: list[tuple], part: dict) -> dict:
+    """The longest path from each component down, by taking away components whose needs are all done."""
+    needs: dict[object, set] = {p: set() for p in part.values()}
+    users: dict[object, list] = {p: [] for p in needs}
+    for a, b in edges:
+        a, b = part[a], part[b]
+        if a != b and b not in needs[a]:
+            needs[a].add(b)
+            users[b].append(a)
+    left = {p: len(n) for p, n in needs.items()}
+    level = {p: 0 for p, n in left.items() if not n}
+    todo = list(level)
+    for p in todo:
+        for u in users[p]:
+            level[u] = max(level.get(u, 0), level[p] + 1)
+            left[u] -= 1
+            if not left[u]:
+                todo.append(u)
+    return level
+
 
 def link(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """``src, dst, resolved`` of references ``src, target`` against ``nodes(node)``; repeats kept."""
@@ -89,6 +162,12 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     with equal labels, are one component. They are taken out and the rest goes again. All steps
     are joins and minima that are summed before the shuffle, without the closure.
     """
+    if (few := _few(edges)) is not None:
+        part, loops = _parts(few), {a for a, b in few if a == b}
+        size: dict = {}
+        for p in part.values():
+            size[p] = size.get(p, 0) + 1
+        return _table(edges, [(n, p) for n, p in part.items() if size[p] > 1 or n in loops], "node", "component")
     found = None
     e = trimmed(edges)
     for _ in range(max_rounds):
@@ -113,8 +192,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         found = part if found is None else found.union(part)
         e = trimmed(inner.select("src", "dst").join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if found is None:
-        kind = edges.schema["src"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+        return _table(edges, [], "node", "component")
     # a component of one node without a loop is no cycle
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
     size = found.groupBy("component").agg(F.count("*").alias("n"))
@@ -146,6 +224,11 @@ def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Data
     Peeling: a component whose dependencies all have layers gets one more than the highest, so a
     round is one join over the edges that are still open, and there are as many as layers.
     """
+    if (few := _few(edges)) is not None:
+        part = _parts(few)
+        level = _levels(few, part)
+        done = _table(edges, [(n, level[p]) for n, p in part.items() if level[p]], "node", layer="long")
+        return nodes.select("node").distinct().join(done, "node", "left").select("node", F.coalesce("layer", F.lit(0)).cast("long").alias("layer"))
     group = strong_components(edges)
     of = durable(
         nodes.select("node").distinct().join(group, "node", "left").select("node", F.coalesce("component", "node").alias("part")), "layer-parts"
@@ -191,9 +274,15 @@ def critical_path(layered: DataFrame, edges: DataFrame) -> DataFrame:
         .join(at.select(F.col("node").alias("dst"), F.col("layer").alias("down")), "dst")
         .filter("down = up - 1").groupBy("src").agg(F.min("dst").alias("dst"))
     )
-    tight = durable(tight, "tight")
     top = at.agg(F.max(F.struct("layer")).alias("t")).select(F.col("t.layer").alias("layer"))
     now = durable(at.join(top, "layer").agg(F.min("node").alias("node")).filter("node is not null").withColumn("back", F.lit(0)), "path")
+    steps = tight.limit(LOCAL_EDGES + 1).collect()
+    if len(steps) <= LOCAL_EDGES:
+        follow, walk = {r["src"]: r["dst"] for r in steps}, [r["node"] for r in now.collect()]
+        while walk and walk[-1] in follow:
+            walk.append(follow[walk[-1]])
+        return _table(edges, [(n, len(walk) - 1 - k) for k, n in enumerate(walk)], "node", step="long").select("step", "node")
+    tight = durable(tight, "tight")
     path, k = now, 0
     while True:
         k += 1

@@ -158,7 +158,7 @@ ATLAS_CTE = (T.PROJ, T.CYC, T.REACH.format(e="cyc"), T.SCC, T.COND, """deg AS (S
 @query(with_(*ATLAS_CTE, recursive=True) + f"""SELECT project, name, path, brand AS area, fan_in, fan_out, layer, cyclic AS in_cycle,
   fan_in = 0 AND fan_out >= 3 AND NOT {T.TESTLIKE.format('name')} AS is_root, loc,
   coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY dst) FROM cyc WHERE src = project), '') AS deps
-  FROM proj JOIN deg USING (node) JOIN lay USING (node) JOIN scc USING (node)""".replace("USING (node)", "ON {0}.node = project").replace("deg ON {0}", "deg ON deg").replace("lay ON {0}", "lay ON lay").replace("scc ON {0}", "scc ON scc"))
+  FROM proj JOIN deg ON deg.node = project JOIN lay ON lay.node = project JOIN scc ON scc.node = project""")
 def atlas_projects(t: T.Tables) -> DataFrame:
     out = atlas.atlas(t.projects().select("project", "name", "path"), t.cyc(), t.projects().select("project", "loc"))
     return out.withColumn("deps", joined("deps"))
@@ -445,17 +445,12 @@ def top_methods_filtered(t: T.Tables) -> DataFrame:
     return types.top_methods(t.methods(), 35, "S1")
 
 
-PARTIAL = """parts AS (SELECT l_returnflag AS project, 'O' || l_orderkey AS fqn, l_linenumber AS f, concat_ws('_', l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_quantity::BIGINT AS loc,
-  l_linenumber AS complexity, 'B' || l_partkey % 4 AS base, l_linestatus AS attr, 'R' || l_suppkey % 9 AS ref FROM lineitem)"""
-FIRSTS = "(SELECT string_agg(x, ',' ORDER BY k) FROM (SELECT x, min(i) AS k FROM (SELECT unnest({0}) AS x, generate_subscripts({0}, 1) AS i) GROUP BY x))"
-
-
 @query("""WITH p AS (SELECT l_returnflag AS project, 'O' || l_orderkey AS fqn, l_linenumber AS f, concat_ws('_', l_partkey, l_suppkey) AS pos, l_quantity::BIGINT AS loc, l_linenumber AS complexity,
   'B' || l_partkey % 4 AS base, l_linestatus AS attr, 'R' || l_suppkey % 9 AS ref FROM lineitem),
-first_base AS (SELECT project, fqn, string_agg(base, ',' ORDER BY k) AS bases FROM (SELECT project, fqn, base, min({f: f, pos: pos}) AS k FROM p GROUP BY ALL) GROUP BY project, fqn),
-first_attr AS (SELECT project, fqn, string_agg(attr, ',' ORDER BY k) AS attributes FROM (SELECT project, fqn, attr, min({f: f, pos: pos}) AS k FROM p GROUP BY ALL) GROUP BY project, fqn)
+first_base AS (SELECT project, fqn, string_agg(base, ',' ORDER BY k) AS bases FROM (SELECT project, fqn, base, min({f: f, pos: pos}) AS k FROM p GROUP BY project, fqn, base) GROUP BY project, fqn),
+first_attr AS (SELECT project, fqn, string_agg(attr, ',' ORDER BY k) AS attributes FROM (SELECT project, fqn, attr, min({f: f, pos: pos}) AS k FROM p GROUP BY project, fqn, attr) GROUP BY project, fqn)
 SELECT p.project, p.fqn, count(*)::BIGINT AS parts, sum(loc)::BIGINT AS loc, count(*)::BIGINT AS members, sum(complexity)::BIGINT AS complexity, string_agg(DISTINCT ref, ',' ORDER BY ref) AS referenced_types,
-  any_value(bases) AS bases, any_value(attributes) AS attributes FROM p JOIN first_base USING (project, fqn) JOIN first_attr USING (project, fqn) GROUP BY p.project, p.fqn""".replace("GROUP BY ALL) GROUP BY project, fqn),\nfirst_attr", "GROUP BY project, fqn, base) GROUP BY project, fqn),\nfirst_attr").replace("GROUP BY ALL", "GROUP BY project, fqn, attr"))
+  any_value(bases) AS bases, any_value(attributes) AS attributes FROM p JOIN first_base USING (project, fqn) JOIN first_attr USING (project, fqn) GROUP BY p.project, p.fqn""")
 def partial_type_merge(t: T.Tables) -> DataFrame:
     parts = t.partial_types().withColumn("pos", F.substring_index("pos", "_", 2))
     out = types.merge_partial(parts)
@@ -537,7 +532,7 @@ def source_files_grouped(t: T.Tables) -> DataFrame:
 
 @query("SELECT p_partkey AS node, 'a/' || p_brand || '/x' AS folded, 'a/' || p_brand AS parent, 'x' AS stem FROM part")
 def path_folding(t: T.Tables) -> DataFrame:
-    path = F.concat(F.lit("a/./b/..\\\\".replace("\\\\", "\\")), "p_brand", F.lit("//c/../x"))
+    path = F.concat(F.lit("a/./b/..\\"), "p_brand", F.lit("//c/../x"))
     return t.read("part").select(F.col("p_partkey").alias("node"), paths.fold(path).alias("folded")).withColumns({"parent": paths.parent(F.col("folded")), "stem": paths.stem(F.concat("folded", F.lit(".csproj")))})
 
 
@@ -680,3 +675,160 @@ def findings_by_severity(t: T.Tables) -> DataFrame:
 @query(with_(*FOUND, recursive=True) + "SELECT kind, count(*)::BIGINT AS n, string_agg(CASE WHEN detail = '' THEN project ELSE project || ' ' || detail END, '; ' ORDER BY CASE WHEN detail = '' THEN project ELSE project || ' ' || detail END) AS entries FROM s GROUP BY kind")
 def checks_buckets(t: T.Tables) -> DataFrame:
     return findings.buckets(_findings(t)).withColumn("entries", F.array_join("entries", "; "))
+
+
+# ---------------------------------------------------------------- parsing of made-up files
+
+
+def _files(t: T.Tables, path: Column, text: Column, where: str = "true") -> DataFrame:
+    return t.read("part").filter(where).select(path.alias("path"), text.alias("text"), "p_partkey", "p_size")
+
+
+def _n(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+PROJECT_PATH = "'src/' || p_brand || '/P' || p_partkey || '/P' || p_partkey || '.csproj'"
+
+
+def _project_files(t: T.Tables) -> DataFrame:
+    path = F.concat(F.lit("src/"), "p_brand", F.lit("/P"), _n("p_partkey"), F.lit("/P"), _n("p_partkey"), F.lit(".csproj"))
+    head = F.when(F.col("p_size") % 3 == 0, '<Project ToolsVersion="4.0" xmlns="http://schemas.microsoft.com/developer/msbuild/2003">').otherwise('<Project Sdk="Microsoft.NET.Sdk">')
+    frame = F.when(F.col("p_size") % 2 == 0, "<TargetFrameworks>net8.0; netstandard2.0;</TargetFrameworks>").otherwise("<TargetFramework>net8.0</TargetFramework>")
+    name = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("<AssemblyName>Asm"), _n("p_size"), F.lit("</AssemblyName>"))).otherwise("")
+    version = F.when(F.col("p_size") % 4 == 0, F.lit('"/>')).otherwise(F.concat(F.lit('" Version="'), _n("p_size"), F.lit('.0" PrivateAssets="All"></PackageReference>')))
+    text = F.concat(
+        head, F.lit("<PropertyGroup>"), frame, name, F.lit('</PropertyGroup>\n<!-- <PackageReference Include="No"/> --><ItemGroup><PackageReference Include="'), "p_type", version,
+        F.lit('<ProjectReference Include="..\\P'), (F.col("p_partkey") + 1).cast("string"), F.lit("\\P"), (F.col("p_partkey") + 1).cast("string"),
+        F.lit('.csproj"/><Reference Include="Lib, Version=1"/></ItemGroup></Project>'),
+    )
+    return _files(t, path, text)
+
+
+@query(f"""SELECT {PROJECT_PATH} AS path, CASE WHEN p_size % 5 = 0 THEN 'Asm' || p_size ELSE 'P' || p_partkey END AS name, p_size % 3 <> 0 AS sdk_style,
+  CASE WHEN p_size % 2 = 0 THEN 'net8.0,netstandard2.0' ELSE 'net8.0' END AS frameworks, p_type AS package, CASE WHEN p_size % 4 <> 0 THEN p_size || '.0' END AS version,
+  CASE WHEN p_size % 4 <> 0 THEN 'All' END AS private_assets, 'src/' || p_brand || '/P' || (p_partkey + 1) || '/P' || (p_partkey + 1) || '.csproj' AS target_path, 'Lib, Version=1' AS assembly FROM part""")
+def parse_csproj(t: T.Tables) -> DataFrame:
+    from quarrylib.sources import project_files as pf
+
+    got = pf.project_tables(pf.parse_projects(_project_files(t)))
+    refs = got["package_refs"].withColumnRenamed("name", "package").drop("ord")
+    out = got["projects"].join(refs, "project").join(got["project_refs"].drop("ord"), "project").join(got["assembly_refs"].drop("ord"), "project")
+    return out.select("path", "name", "sdk_style", joined("target_frameworks").alias("frameworks"), "package", "version", "private_assets", "target_path", F.col("raw_include").alias("assembly"))
+
+
+@query("SELECT 'sln/' || p_brand || '/S' || p_partkey || '.sln' AS solution, 'P' || p_size AS name, 'sln/' || (CASE WHEN p_size % 2 = 0 THEN p_brand || '/' ELSE '' END) || 'P' || p_size || '.csproj' AS path FROM part")
+def parse_sln(t: T.Tables) -> DataFrame:
+    from quarrylib.sources import project_files as pf
+
+    path = F.concat(F.lit("sln/"), "p_brand", F.lit("/S"), _n("p_partkey"), F.lit(".sln"))
+    up = F.when(F.col("p_size") % 2 == 0, "").otherwise("..\\")
+    line = F.concat(F.lit('Project("{FAE0}") = "P'), _n("p_size"), F.lit('", "'), up, F.lit("P"), _n("p_size"), F.lit('.csproj", "{GUID}"'))
+    rows = t.read("part").select(path.alias("path"), F.explode(F.array(F.lit("Microsoft Visual Studio Solution File"), line, F.lit('Project("{2150}") = "docs", "docs", "{GUID}"'), F.lit("EndProject"))).alias("value"))
+    return pf.solution_projects(rows)
+
+
+@query("SELECT 'd' || p_partkey AS props_dir, 'Pkg' || (p_size % 4) AS name, (p_size * 2) || '.1' AS version, 1::BIGINT AS ord FROM part")
+def parse_cpm(t: T.Tables) -> DataFrame:
+    from quarrylib.sources import project_files as pf
+
+    path = F.concat(F.lit("d"), _n("p_partkey"), F.lit("/Directory.Packages.props"))
+    entry = lambda v: F.concat(F.lit('<PackageVersion Include="Pkg'), (F.col("p_size") % 4).cast("string"), F.lit('" Version="'), v, F.lit('"/>'))
+    text = F.concat(F.lit("<Project><ItemGroup><PackageVersion Update='x'/>"), entry(_n("p_size")), entry(F.concat((F.col("p_size") * 2).cast("string"), F.lit(".1"))), F.lit("</ItemGroup></Project>"))
+    return pf.parse_central_versions(_files(t, path, text)).filter("ord = 1")
+
+
+def _sources(t: T.Tables) -> DataFrame:
+    """A class for each part: its size gives methods, branches and lines."""
+    s, k = F.col("p_size"), _n("p_partkey")
+    branch = F.when(s % 3 == 0, F.lit("if (a?.b ?? c) { }\n")).when(s % 3 == 1, F.lit("for (;;) { x = y ? 1 : 2; }\n")).otherwise(F.lit("int? n = null; // if\n"))
+    method = F.concat(F.lit("  [HttpGet(\"a"), k, F.lit("\")]\n  public Task<Dto"), _n("p_size"), F.lit("> M(Arg a, int b)\n  {\n"), F.repeat(branch, F.col("p_size") % 7), F.lit("    var s = \"} if (\"; var v = new Made(); return x;\n  }\n"))
+    text = F.concat(
+        F.lit("using System;\nusing J = Lib"), (s % 9).cast("string"), F.lit(".Core;\n/* class No { } */\nnamespace Acme.N"), (s % 4).cast("string"), F.lit(";\n[Serializable]\npublic sealed class T"), k,
+        F.lit(" : Base<Gen>, IThing\n{\n  private int a, b;\n  public string P { get; set; }\n"), F.repeat(method, s % 3), F.lit("}\ninternal enum E"), k, F.lit(" { A, B }\n"),
+    )
+    return _files(t, F.concat(F.lit("f/"), k, F.lit(".cs")), text)
+
+
+def _parsed(t: T.Tables) -> DataFrame:
+    from quarrylib.sources import source_code as sc
+
+    return sc.parse_sources(_sources(t))
+
+
+CS = """cs AS (SELECT *, 'Acme.N' || p_size % 4 AS ns, p_size % 7 AS reps, p_size % 3 AS meths, (CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) * (p_size % 7) AS cx,
+  5 + p_size % 7 AS mloc FROM part)"""
+
+
+@query("SELECT 'f/' || p_partkey || '.cs' AS path, 'Lib' || p_size % 9 || '.Core,System' AS usings, 'Acme.N' || p_size % 4 AS namespaces FROM part")
+def parse_usings(t: T.Tables) -> DataFrame:
+    return _parsed(t).select("path", joined("usings").alias("usings"), joined("namespaces").alias("namespaces"))
+
+
+@query(with_(CS) + "SELECT 'class' AS kind, ns || '.T' || p_partkey AS fqn FROM cs UNION ALL SELECT 'enum', ns || '.E' || p_partkey FROM cs")
+def parse_types(t: T.Tables) -> DataFrame:
+    return _parsed(t).select(F.explode("types").alias("t")).select("t.kind", "t.fqn")
+
+
+@query(with_(CS) + """SELECT ns || '.T' || p_partkey AS fqn, (6 + meths * mloc)::BIGINT AS loc, (2 + meths)::BIGINT AS members, (meths * cx)::BIGINT AS complexity, 'Base,Gen,IThing' AS bases,
+  'Serializable' AS attributes, CASE WHEN meths > 0 THEN 'Arg,Base,Dto' || p_size || ',Gen,HttpGet,IThing,Made,Serializable,Task' ELSE 'Base,Gen,IThing,Serializable' END AS referenced FROM cs""")
+def parse_metrics(t: T.Tables) -> DataFrame:
+    rows = _parsed(t).select(F.explode("types").alias("t")).filter("t.kind = 'class'").select("t.*")
+    return rows.select("fqn", "loc", "members", "complexity", *[joined(c).alias(c) for c in ("bases", "attributes", "referenced")])
+
+
+@query(with_(CS) + """SELECT ns || '.T' || p_partkey AS fqn, 'M' AS name, (10 + i * mloc)::BIGINT AS line_start, (9 + (i + 1) * mloc)::BIGINT AS line_end, mloc::BIGINT AS loc, cx::BIGINT AS complexity,
+  'HttpGet(''a' || p_partkey || ''')' AS attributes, 'Arg,Dto' || p_size || ',Task' AS signature_types, 'public Task<Dto' || p_size || '> M(Arg a, int b)' AS signature FROM cs, (VALUES (0), (1)) r(i) WHERE i < meths""")
+def parse_methods(t: T.Tables) -> DataFrame:
+    rows = _parsed(t).select(F.explode("types").alias("t")).select("t.fqn", F.explode("t.methods").alias("m")).select("fqn", "m.*")
+    return rows.select("fqn", "name", "line_start", "line_end", "loc", "complexity", joined("attributes").alias("attributes"), joined("signature_types").alias("signature_types"), "signature")
+
+
+@query("""SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN 'new' WHEN p_partkey % 7 = 1 THEN 'gone' WHEN p_partkey % 7 = 2 THEN 'changed' ELSE 'same' END AS state FROM part""")
+def parse_cache_delta(t: T.Tables) -> DataFrame:
+    from quarrylib.streaming.parse_cache import delta
+
+    k = F.col("p_partkey") % 7
+    rows = t.read("part").select(F.concat(F.lit("f"), _n("p_partkey")).alias("path"), F.col("p_size").alias("mtime"), F.col("p_partkey").alias("length"), k.alias("k"))
+    now = rows.filter("k <> 1").select("path", "mtime", "length")
+    before = rows.filter("k <> 0").select("path", F.when(F.col("k") == 2, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("mtime"), "length")
+    return delta(now, before)
+
+
+# ---------------------------------------------------------------- renderings
+
+
+def _drawn(t: T.Tables) -> tuple[DataFrame, DataFrame]:
+    key = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    kind = lambda c: F.when(F.col(c) % 10 == 0, "package").otherwise("project")
+    nodes = t.read("part").select(key("p_partkey").alias("key"), F.col("p_name").alias("label"), kind("p_partkey").alias("kind"))
+    return nodes, t.dag().select(key("src").alias("src"), key("dst").alias("dst"), kind("dst").alias("kind"))
+
+
+@query(with_(T.DAG) + """SELECT * FROM (VALUES ('digraph projects {'), ('  rankdir=LR;'), ('  node [shape=box, style=rounded];'), ('}')) v(line)
+  UNION ALL SELECT '  "p' || p_partkey || '" [label="' || p_name || '"' || (CASE WHEN p_partkey % 10 = 0 THEN ', shape=ellipse, style="filled,rounded", fillcolor="#eeeeee"' ELSE '' END) || '];' FROM part
+  UNION ALL SELECT '  "p' || src || '" -> "p' || dst || '"' || (CASE WHEN dst % 10 = 0 THEN ' [style=dashed, color=gray]' ELSE '' END) || ';' FROM dag""")
+def dot_render(t: T.Tables) -> DataFrame:
+    from quarrylib import sinks
+
+    return sinks.dot(*_drawn(t)).select("line")
+
+
+@query(with_(T.DAG, "num AS (SELECT p_partkey, p_name, 'n' || (row_number() OVER (ORDER BY 'p' || p_partkey) - 1) AS n FROM part)") + """SELECT 'flowchart LR' AS line UNION ALL SELECT '  ' || n || '["' || p_name || '"]' FROM num
+  UNION ALL SELECT '  ' || a.n || (CASE WHEN dst % 10 = 0 THEN ' -.-> ' ELSE ' --> ' END) || b.n FROM dag JOIN num a ON a.p_partkey = src JOIN num b ON b.p_partkey = dst""")
+def mermaid_render(t: T.Tables) -> DataFrame:
+    from quarrylib import sinks
+
+    return sinks.mermaid(*_drawn(t)).select("line")
+
+
+@query("""SELECT p_partkey AS node, 'f' || p_size || ':' || p_size || '-' || (p_size + 5) AS span, p_name || ' L' || p_size || '-' || (p_size + 5) || ' loc=6 cx=2' || (CASE WHEN p_size % 2 = 0 THEN ' f=' || p_size ELSE '' END)
+  || (CASE WHEN p_size % 3 = 0 THEN ' [A, L9-x]' ELSE '' END) AS method, p_size::BIGINT AS line_start, (p_size + 5)::BIGINT AS line_end, CASE WHEN p_size % 2 = 0 THEN p_size::BIGINT END AS file_id FROM part""")
+def span_format(t: T.Tables) -> DataFrame:
+    from quarrylib import sinks
+
+    s = F.col("p_size").cast("long")
+    file = F.when(s % 2 == 0, s)
+    attrs = F.when(s % 3 == 0, F.array(F.lit("A"), F.lit("L9-x"))).otherwise(F.array().cast("array<string>"))
+    rows = t.read("part").select(F.col("p_partkey").alias("node"), sinks.span_text(s, s, s + 5).alias("span"), sinks.method_text(F.col("p_name"), s, s + 5, F.lit(6), F.lit(2), file, attrs).alias("method"))
+    return rows.withColumn("m", sinks.parse_method(F.col("method"))).select("node", "span", "method", "m.line_start", "m.line_end", "m.file_id")

@@ -458,8 +458,6 @@ class _Parser:
                 self.body(i + 1, stop, ns, me)
             me.complexity = self.branches(start, stop)
             i = stop
-            if self.is_(i + 1, ";"):
-                pass
         me.line_end = self.t[min(i, self.n - 1)].end_line
         return i + 1
 
@@ -586,7 +584,7 @@ class _Parser:
 
     def statements(self, i: int, end: int, owner: Type | None) -> None:
         self.declared(i, end, owner)
-        self.expression(i, end, owner, inside=True)
+        self.expression(i, end, owner)
 
     def declared(self, i: int, end: int, owner: Type | None) -> None:
         """A local declaration at the start of a statement: its type, and a local function's parameters."""
@@ -605,7 +603,7 @@ class _Parser:
             if self.is_(k, "(") and self.is_(self.skip_to(self.close.get(k, end) + 1, end, "{", "=>", ";"), "{", "=>"):
                 self.parameters(k + 1, self.close[k], owner)
 
-    def expression(self, i: int, end: int, owner: Type | None, inside: bool = False) -> None:
+    def expression(self, i: int, end: int, owner: Type | None) -> None:
         """Types in what is created, cast, tested and asked for, and local declarations in the blocks of a range."""
         while i < end:
             t = self.t[i]
@@ -616,8 +614,6 @@ class _Parser:
                     if i and self.is_(i - 1, "for", "using", "fixed"):
                         self.declared(i + 1, self.close.get(i, end), owner)
                     self.cast(i, end, owner)
-                elif t.text == ")" and inside and i + 1 < end and self.t[i + 1].kind == "id":
-                    pass
             elif t.kind == "id":
                 if t.text == "new" and (got := self.type_at(i + 1, end)):
                     if not self.is_(got[0], "[") and not self.is_(got[0] - 1, "]"):
@@ -627,12 +623,9 @@ class _Parser:
                 elif t.text in ("as", "is") and i and not self.is_(i - 1, "(", ",", "=", "{", ";") and (got := self.type_at(i + 1, end)):
                     designated = got[0] < end and self.t[got[0]].kind == "id" and self.t[got[0]].text not in NOT_TYPES
                     if t.text == "as" or not (designated or self.is_(got[0], "{", "(")):
-                        self.refer(self.before_ternary(i + 1, got), owner)
+                        self.refer(got[1], owner)
             i += 1
 
-    def before_ternary(self, i: int, got: tuple[int, list[str]]) -> list[str]:
-        return got[1]
-
     def cast(self, i: int, end: int, owner: Type | None) -> None:
         shut = self.close.get(i, end)
         if i and (self.t[i - 1].kind in ("num", "str", "chr") or self.is_(i - 1, ")", "]", ">") or (self.t[i - 1].kind == "id" and self.t[i - 1].text not in ("return", "await", "in", "throw", "else", "case", "when", "and", "or", "not"))):
@@ -651,10 +644,9 @@ class _Parser:
         k = i
         while k < min(end + 1, self.n):
             t = self.t[k]
-            if t.kind == "id" and not self.is_(k - 1, ".", "?.") :
+            if t.kind == "id" and not self.is_(k - 1, ".", "?."):
                 if t.text in BRANCHES:
-                    if k not in skip and not (t.text == "for" and False):
-                        count += 1
+                    count += k not in skip
                     if t.text == "do":
                         after = self.close.get(k + 1, k) + 1 if self.is_(k + 1, "{") else self.skip_to(k + 1, end, "while")
                         skip.add(after)
@@ -663,7 +655,8 @@ class _Parser:
                 elif t.text == "when":
                     back = k - 1
                     caught = self.is_(back, ")") and self.is_(self._open(back) - 1, "catch")
-                    count += not caught and not self.is_(back, "catch") and (self.t[back].kind != "op" or self.is_(back, ")", "}", "]", ">"))
+                    named = self.is_(k + 1, "=", ";", ",", ")", ".", "in")
+                    count += not caught and not named and not self.is_(back, "catch") and (self.t[back].kind != "op" or self.is_(back, ")", "}", "]", ">"))
             elif t.kind == "op" and t.text == "?" and self.ternary(k, end):
                 count += 1
             k += 1
