@@ -248,23 +248,23 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "do
     model = model or train(docs, id_col, text_col)
     names = {"n_paragraphs", "n_licensed", "families", "probability"}
     base = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    found = find_licenses(docs, model, id_col, text_col).groupBy("key", "text_hash").agg(
-        F.collect_set(F.when(F.col("confirmed"), F.col("line"))).alias("lines"),
+    found = find_licenses(docs, model, id_col, text_col).groupBy(F.col("key").alias("_li_key"), F.col("text_hash").alias("_li_hash")).agg(
+        F.collect_set(F.when(F.col("confirmed"), F.col("line"))).alias("_li_lines"),
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("_li_families"),
         F.max("probability").alias("_li_probability"),
     )
     text = text_or_empty(F.col(text_col))
     marked = base.withColumns({"_li_key": id_key(F.col(id_col)), "_li_hash": F.xxhash64(text)})
-    joined = marked.join(found, (F.col("_li_key") == F.col("key")) & (F.col("_li_hash") == F.col("text_hash")), "left")
+    joined = marked.join(found, ["_li_key", "_li_hash"], "left")
     paragraph = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")))
     return joined.withColumns(
         {
             "n_paragraphs": paragraph.cast("long"),
-            "n_licensed": F.coalesce(F.size("lines"), F.lit(0)).cast("long"),
+            "n_licensed": F.coalesce(F.size("_li_lines"), F.lit(0)).cast("long"),
             "families": F.coalesce("_li_families", F.array().cast("array<string>")),
             "probability": F.coalesce("_li_probability", F.lit(0.0)),
         }
-    ).drop("_li_key", "_li_hash", "key", "text_hash", "lines", "_li_families", "_li_probability")
+    ).drop("_li_key", "_li_hash", "_li_lines", "_li_families", "_li_probability")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

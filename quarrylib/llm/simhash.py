@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from quarrylib.operators.components import connected_components
 
-from .common import NULL_ID, durable, id_key, table
+from .common import AZ, NULL_ID, durable, id_key, releasing, table
 
-LOW, AZ = bytes(range(128)), bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED, BITS = 42, 64
 #: A fingerprint's three segments as (first bit, bits); each is a Golay word with zeros above.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -56,6 +55,7 @@ def fingerprint(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``id, text_hash, fp`` for each row: the id as it is, XXH64 of the text, the fingerprint as a signed long."""
 
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(hashes(t, words)) for t in b["text"]], np.uint64).view(np.int64)
@@ -124,6 +124,7 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- links
 
 
+@releasing
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fps = b["fp"].to_numpy(np.int64)
@@ -131,6 +132,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": keys, "fp": fps[rows]})
 
 
+@releasing
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each bucket's links a spanning set: fewer rows than fingerprints."""
     for b in batches:
@@ -147,6 +149,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+@releasing
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     flips = np.concatenate((np.zeros(1, np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
     for b in batches:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AZ, NULL_ID, durable, id_key, split_words, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, releasing, split_words, table, text_or_empty, text_runs
 
 #: Symbols: the end of a text, then the classes of rare words, then frequent words. NOTHING stands before a text.
 END, CLASSES, NOTHING = 0, 256, 0xFFFF
@@ -132,6 +132,7 @@ def count(code: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def counted(lexicon: Lexicon):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -213,7 +214,7 @@ def grow(rows: pd.DataFrame, width: int, min_share: float = MIN_SHARE) -> Tree:
         past, after = past[order], (gram[longer][order] >> np.uint64(16 * DEPTH)).astype(np.int64)
         numbers = number[longer][order]
         first = np.flatnonzero(np.concatenate(([True], past[1:] != past[:-1]))) if len(past) else np.empty(0, np.int64)
-        ends = np.append(first[1:], len(past))
+        ends = np.append(first[1:], len(past))[: len(first)]
         totals = dict(zip(gram[n == d].tolist(), number[n == d].tolist(), strict=True))
         kept, at = [], []
         for a, b in zip(first.tolist(), ends.tolist(), strict=True):
@@ -245,6 +246,7 @@ def grow(rows: pd.DataFrame, width: int, min_share: float = MIN_SHARE) -> Tree:
 # ---------------------------------------------------------------- scoring
 
 
+@releasing
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, texts in chunks(batch):
@@ -358,6 +360,7 @@ def _scored(model):
     number; the other words.
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, tree, shares = model.value
         lc = np.log10(lexicon.counts + 0.1)

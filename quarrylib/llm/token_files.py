@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import AZ, NULL_ID, durable, id_key, split_words, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, releasing, split_words, table, text_or_empty, text_runs
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
 BLOCK_IDS = 1 << 23
@@ -155,6 +155,7 @@ def _write(path: str, end_id: int, word_split: bool):
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "sizes", "n_ids", "data"])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, word_split)
         number, keys, sizes, ids, held = 0, [], [], [], 0
@@ -180,6 +181,7 @@ def _write(path: str, end_id: int, word_split: bool):
     return run
 
 
+@releasing
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "block", "key", "first", "n_tokens", "ids_crc32"]
     for b in batches:

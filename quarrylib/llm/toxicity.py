@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, releasing, table
 
 SIZES = (4, 5, 6)
 #: n-grams are hashed to so many bits.
@@ -87,6 +87,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
+@releasing
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In how many texts of each class each bucket is."""
     total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
@@ -101,6 +102,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _rows(wanted: np.ndarray):
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[np.ndarray] = []
@@ -236,8 +238,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresh
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(broadcast.value.scores(b.tolist()))
+        yield from releasing(lambda x: (pd.Series(broadcast.value.scores(b.tolist())) for b in x))(batches)
 
     scored = kept.withColumn("score", score(F.col(text_col).cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
