@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link, that of the least id."""
+    """One document of each group of texts whose five-word shingles are 0.8 alike or more, that of the least id."""
     return drop_near_duplicates(docs)
 
 

@@ -223,17 +223,113 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return rows.join(found, "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id; columns as they are.
+# ---------------------------------------------------------------- similar texts
 
-    Of several rows with that id and text one stays, chosen by a hash of all its columns.
+#: Bands of least hashes, and hashes of a band: at a similarity of 0.8 all bands of a pair differ in 2 of 10,000 cases.
+BANDS, ROWS = 12, 3
+#: Texts that share a band with no more others than this are compared in pairs, others with the band's leader.
+CROWD = 16
+_rng = np.random.default_rng(2024)
+_MULTIPLY = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of the least of its permuted hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096, None] * _MULTIPLY + _ADD
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    rows = least.reshape(BANDS, ROWS).astype("<u8")
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _sketches(words: int):
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                h = hashes(t, words)
+                different = np.unique(h)
+                sig = xxhash.xxh64_intdigest(different.astype("<u8").tobytes(), SEED)
+                out.append((np.uint64(sig).view(np.int64), np.uint64(fingerprint(h)).view(np.int64), sketch(different) if len(h) else []))
+            made = pd.DataFrame(out, columns=["sig", "fp", "bands"])
+            yield pd.concat([b[["key", "text_hash"]].reset_index(drop=True), made], axis=1)
+
+    return run
+
+
+def _sets(words: int):
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [np.unique(hashes(t, words)).astype("<u8").tobytes() for t in b["text"]]
+            yield pd.DataFrame({"sig": b["sig"], "shingles": made})
+
+    return run
+
+
+def _alike(similarity: float):
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["of_a"], b["of_b"], strict=True):
+                n, m = len(x) // 8, len(y) // 8
+                if min(n, m) < similarity * max(n, m):
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                keep.append(both >= similarity * (n + m - both))
+            yield b.loc[keep, ["a", "b"]]
+
+    return run
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``key, text_hash, component`` of each row: texts that links of ``similarity`` or more connect share a component.
+
+    Similarity is that of the sets of ``words``-word shingles (Jaccard). Candidates meet by the Golay
+    keys of their fingerprints and, since texts of 0.8 differ in too many bits for these, by bands of
+    least hashes. Texts of one set are one node. A band that few share gives all its pairs, of a
+    bounded number for each text; one that many share gives each text with the band's leader, a member
+    drawn by a hash, another in each band, so no band pairs all of a crowd. Every pair is verified on
+    the whole sets, which are made again for texts with a candidate only. Texts without words are one node.
     """
-    kept = (
-        _resolved(docs, id_col, text_col, words)
-        .groupBy("component")
-        .agg(F.min(F.struct("key", "text_hash")).alias("least"))
-        .select("least.*")
-    )
+    text = F.col(text_col).cast("string")
+    named = docs.select(id_key(F.col(id_col)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = durable(named.mapInPandas(_sketches(words), "key long, text_hash long, sig long, fp long, bands array<long>"), "sketches")
+    nodes = rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("key", "text_hash")).alias("at"))
+    nodes = durable(nodes, "sketch-nodes")
+    keyed = nodes.select("sig", F.posexplode("bands").alias("band", "k"))
+    shared = keyed.groupBy("band", "k").agg(F.count("*").alias("n"), F.min_by("sig", F.xxhash64("sig", "band")).alias("leader")).filter("n > 1")
+    held = durable(keyed.join(shared, ["band", "k"]), "sketch-held")
+    few = held.filter(F.col("n") <= CROWD).groupBy("band", "k").agg(F.array_sort(F.collect_list("sig")).alias("s"))
+    few = few.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    many = held.filter((F.col("n") > CROWD) & (F.col("sig") != F.col("leader"))).select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b"))
+    heads = nodes.groupBy("fp").agg(F.min("sig").alias("head"))
+    same = nodes.join(heads, "fp").filter("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    near = links(heads).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = durable(few.union(many).union(same).union(near).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = nodes.join(asked, "sig").select("sig", "at.*")
+    texts = named.join(wanted, ["key", "text_hash"]).dropDuplicates(["sig"]).select("sig", "text")
+    sets = durable(texts.mapInPandas(_sets(words), "sig long, shingles binary"), "shingle-sets")
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    parts = connected_components(both.mapInPandas(_alike(similarity), "a long, b long"))
+    parts = parts.withColumnRenamed("node", "sig")
+    return rows.select("key", "text_hash", "sig").join(parts, "sig", "left").select("key", "text_hash", F.coalesce("component", "sig").alias("component"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of ``similar`` texts, that of the least id; columns as they are.
+
+    Null texts are as empty ones, and texts without words a group. Of several rows with the least id
+    one stays, by a hash of its text, then of all its columns. An empty table gives none.
+    """
+    least = F.min(F.struct("key", "text_hash")).alias("least")
+    kept = similar(docs, id_col, text_col, words, similarity).groupBy("component").agg(least).select("least.*")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     named = docs.select(
         id_key(F.col(id_col)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),

@@ -3,8 +3,9 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
-from brute import AZ, WORD, components, simhash
+from brute import AZ, WORD
 from pyspark.sql import functions as F
+from test_simhash import groups
 
 from quarrylib.llm import toxicity
 from quarrylib.llm.token_files import vocabulary
@@ -82,7 +83,7 @@ def test_stages_against_plain_python(spark):
 
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(now, docs.schema), D)
     assert got.columns == columns
-    keep = {d for d, _, c in components([(d["doc_id"], simhash(d["text"])) for d in now]) if c == d}
+    keep = set(groups([(d["doc_id"], d["text"]) for d in now]))
     now = [d for d in now if d["doc_id"] in keep]
     assert as_set(r.asDict() for r in got.collect()) == as_set(now)
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import components, simhash
+from brute import AZ, WORD, components, simhash
 
 from quarrylib.llm import simhash as sh
 
@@ -46,10 +46,64 @@ def test_odd_tables(spark):
     assert _rows(spark, []) == []
     got = sh.near_duplicates(spark.createDataFrame([(None, "a b c"), (1, "a b c")], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (1, None)}
-    kept = sh.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, fp string, key int"))
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, "A  B c\td"), (4, "other thing here"), (4, "solo words"), (7, None)] or sorted(
-        (r.doc_id, r.text) for r in kept.collect()
-    ) == [(3, "a b c d"), (4, "other thing here"), (4, "solo words"), (7, None)]
+
+
+def groups(docs, words=5, similarity=0.8):
+    """The rows that stay: of each group of similar texts the least id."""
+    sets = []
+    for _, t in docs:
+        w = WORD.findall((t or "").translate(AZ))
+        sets.append({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= similarity * (len(sets[i]) + len(sets[j]) - both) and both:
+                root[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[top(i)] = min(least.get(top(i), d), d)
+    return sorted(least.values())
+
+
+def near_copies(seed, n, crowd):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    docs, d = [], 0
+    for size in [*([1] * n), *([2, 3, 5] * (n // 10)), crowd]:
+        text = [word() for _ in range(rnd.choice((30, 120, 400)))]
+        for k in range(size):
+            w = list(text)
+            for _ in range(rnd.choice((0, 1, len(w) // 100)) if k else 0):
+                w[rnd.randrange(len(w))] = word()
+            docs.append((d := d + rnd.randrange(1, 4), " ".join(w)))
+    rnd.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [4, 90])
+def test_similar_texts(spark, crowd):
+    docs = near_copies(crowd, 60, crowd)
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, component string")
+    kept = sh.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == groups(docs)
+
+
+def test_similar_texts_of_odd_tables(spark):
+    docs = [(5, "a b c d"), (3, "A  B c\td"), (3, "a b c d"), (7, None), (9, " "), (4, "solo words"), (4, "other thing here"), (8, "w " * 50_000), (6, "W " * 40_000), (6, "W " * 40_000)]
+    df = spark.createDataFrame([(d, t, None) for d, t in docs], "doc_id long, text string, sig int")
+    got = [(r.doc_id, " ".join((r.text or "").lower().split())[:9]) for r in sh.drop_near_duplicates(df).collect()]
+    assert sorted(got) == [(3, "a b c d"), (4, "other thi"), (4, "solo word"), (6, "w w w w w"), (7, "")]
+    assert sh.drop_near_duplicates(df.limit(0)).count() == 0
+    named = spark.createDataFrame([(None, "a b c"), (1, "a b c")], "doc_id long, text string")
+    assert [r.doc_id for r in sh.drop_near_duplicates(named).collect()] == [None]
 
 
 @pytest.mark.parametrize("bucket", [sh.BUCKET, 2])
