@@ -31,7 +31,7 @@ LANES, STEPS = 16384, 192
 BITS, BITS0, MAX_BITS = 12, 20, 17
 #: Least weight that order 0 has of 1 << BITS.
 FLOOR = 96
-TOP = 7  # highest confidence
+TOP = 7  # highest confidence, three bits
 #: Steps after which order 0 and the weights are counted anew: early ones, then every so many.
 EARLY, EVERY0, EVERY = (1, 2, 4, 8, 16, 32), 64, 8
 WORD, LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -44,8 +44,7 @@ class Corrupt(ValueError):
 class Model:
     def __init__(self, symbols: int, bits: int):
         self.bits, self.symbols = bits, symbols
-        self.next1, self.sure1 = np.zeros(symbols, np.int32), np.zeros(symbols, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int8)
+        self.order1, self.order2 = np.zeros(symbols, np.int32), np.zeros(1 << bits, np.int32)  # id << 3 | confidence
         self.counts = np.zeros(symbols, np.int64)
         states = 2 * (TOP + 1) ** 2
         self.seen, self.hits2, self.hits1 = (np.zeros(states, np.int64) for _ in range(3))
@@ -61,21 +60,20 @@ class Model:
         return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - self.bits)
 
     def predict(self, one: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Both predictions, their confidences and the state of the mixture."""
-        two, sure2, first, sure1 = self.next2[slot], self.sure2[slot], self.next1[one], self.sure1[one]
-        state = (sure2.astype(np.intp) << 4) | (sure1 << 1) | (two == first)
-        return two, sure2, first, sure1, state
+        """Both tables' entries, the ids they predict and the state of the mixture."""
+        entry2, entry1 = self.order2[slot], self.order1[one]
+        two, first = entry2 >> 3, entry1 >> 3
+        state = ((entry2 & TOP) << 4) | ((entry1 & TOP) << 1) | (two == first)
+        return entry2, entry1, two, first, state
 
-    def learn(self, ids, one, slot, two, sure2, first, sure1, state, hit2, hit1) -> None:
+    def learn(self, ids, one, slot, entry2, entry1, state, hit2, hit1) -> None:
         """``hit1``: whether order 1 names the id, also where order 2 does."""
-        up = np.minimum(sure2 + np.int8(1), np.int8(TOP))
-        self.next2[slot] = np.where(sure2 == 0, ids, two)
-        self.sure2[slot] = np.where(hit2, up, np.maximum(sure2, np.int8(1)) - np.int8(1))
-        up = np.minimum(sure1 + np.int8(1), np.int8(TOP))
-        self.next1[one] = np.where(sure1 == 0, ids, first)
-        self.sure1[one] = np.where(hit1, up, np.maximum(sure1, np.int8(1)) - np.int8(1))
+        fresh = ids << 3
+        for table, at, entry, hit in ((self.order2, slot, entry2, hit2), (self.order1, one, entry1, hit1)):
+            sure = entry & TOP
+            table[at] = np.where(hit, entry + (sure < TOP), np.where(sure > 0, entry - 1, fresh))
         self.ids.append(ids)
-        self.states.append((state << 2) | (hit2.astype(np.intp) << 1) | hit1)
+        self.states.append((state << 2) | (hit2.astype(np.int32) << 1) | hit1)
         self.step += 1
         if self.step in EARLY or self.step % EVERY == 0:
             self.weigh()
@@ -136,7 +134,7 @@ def encode(ids: np.ndarray) -> bytes:
     one = two_back = np.zeros(lanes, np.int32)
     for now in x:
         slot = model.slots(one, two_back)
-        two, sure2, first, sure1, state = model.predict(one, slot)
+        entry2, entry1, two, first, state = model.predict(one, slot)
         hit2, hit1 = two == now, first == now
         unit, w2, w21 = span >> np.uint64(BITS), model.w2[state], model.w21[state]
         in1 = hit1 & ~hit2
@@ -155,7 +153,7 @@ def encode(ids: np.ndarray) -> bytes:
             words.append((lo >> WORD).astype("<u4"))
             owners.append(short.astype(np.int16))
             low[short], span[short] = lo << WORD, np.where(across, (~lo + np.uint64(1)) & LOW32, sp) << WORD
-        model.learn(now, one, slot, two, sure2, first, sure1, state, hit2, hit1)
+        model.learn(now, one, slot, entry2, entry1, state, hit2, hit1)
         two_back, one = one, now
     for part in (low >> WORD, low & LOW32):
         words.append(part.astype("<u4"))
@@ -182,7 +180,7 @@ def decode(block: bytes) -> np.ndarray:
     one = two_back = np.zeros(lanes, np.int32)
     for k in range(steps):
         slot = model.slots(one, two_back)
-        two, sure2, first, sure1, state = model.predict(one, slot)
+        entry2, entry1, two, first, state = model.predict(one, slot)
         unit, w2, w21 = span >> np.uint64(BITS), model.w2[state], model.w21[state]
         off, end2, end21 = code - low, unit * w2, unit * w21
         hit2 = off < end2
@@ -205,7 +203,7 @@ def decode(block: bytes) -> np.ndarray:
             place[short] += 1
             low[short], span[short] = lo << WORD, np.where(across, (~lo + np.uint64(1)) & LOW32, sp) << WORD
         out[k] = now
-        model.learn(now, one, slot, two, sure2, first, sure1, state, hit2, first == now)
+        model.learn(now, one, slot, entry2, entry1, state, hit2, first == now)
         two_back, one = one, now
     ids = out.T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
