@@ -154,7 +154,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     a task holds one shard and one batch, each of a bounded size; a query's best of each shard
     are ranked at the end. Batches and shards are dealt by hashes and ranges, so equal vectors spread.
     """
-    spark = vectors.sparkSession
     rows = durable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "x").dropna(), "vectors")
     count = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id", "x")).limit(SAMPLE).toPandas()["x"].tolist()
@@ -189,7 +188,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     )
     order = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    del spark
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
