@@ -125,6 +125,16 @@ def metrics(repo: Repository, top: int = 20, project: str | None = None) -> tupl
     return types.totals_with_grand(rows), types.top_methods(methods, top, project)
 
 
+def find_folder(start: str) -> str:
+    """The results' folder of the nearest repository at or above ``start``."""
+    at = os.path.abspath(start)
+    while not os.path.isdir(os.path.join(at, FOLDER, "gen")):
+        if at == os.path.dirname(at):
+            raise FileNotFoundError(f"no {FOLDER}/gen at or above {start}")
+        at = os.path.dirname(at)
+    return os.path.join(at, FOLDER, "gen")
+
+
 class NotFound(LookupError):
     """No project, or not one, is meant by a name."""
 
@@ -195,7 +205,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = build_session()
     if a.command == "lookup":
-        for name, df in look_up(spark, a.path, a.names, a.file).items():
+        folder = a.path if os.path.isdir(os.path.join(a.path, "metrics")) else find_folder(a.path)
+        for name, df in look_up(spark, folder, a.names, a.file).items():
             print(name)
             for row in sinks.as_json(df).toLocalIterator():
                 print(row["value"])
@@ -213,7 +224,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "metrics":
         totals, top = metrics(repo.scan(), a.top, a.project)
         print(sinks.text(sinks.metrics_lines(totals)))
-        top.show(max(a.top, 1), truncate=False)
+        print(sinks.text(sinks.top_method_lines(top)))
     elif a.command == "focus":
         try:
             print(focus(repo, a.names[0], a.up, a.down, a.format))

@@ -131,6 +131,16 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def dependency_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, deps, dependents``: sorted sets, of edges to known nodes only."""
+    known = induced(edges.select("src", "dst").distinct(), nodes)
+    down = known.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("deps"))
+    up = known.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("dependents"))
+    empty = F.array().cast(edges.select(F.array("dst")).schema[0].dataType)
+    both = nodes.select("node").distinct().join(down, "node", "left").join(up, "node", "left")
+    return both.select("node", F.coalesce("deps", empty).alias("deps"), F.coalesce("dependents", empty).alias("dependents"))
+
+
 def dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, rebuild``: each node with itself and all that reach it, what to build again when it changes."""
     up = closure(edges).select(F.col("dst").alias("node"), F.col("src").alias("rebuild"))

@@ -102,6 +102,12 @@ def classify_references(referenced: DataFrame, catalog: DataFrame, usings: DataF
     )
 
 
+def primary_spans(spans: DataFrame) -> DataFrame:
+    """The first span of each type, by file, then place in it."""
+    first = F.min_by(F.struct("file_id", "line_start", "line_end"), F.struct("file_id", "pos")).alias("s")
+    return spans.groupBy("project", "fqn").agg(first).select("project", "fqn", "s.*")
+
+
 def file_ids(files: DataFrame) -> DataFrame:
     """``files(project, path)`` with ``file_id``, from 0 by folder and name in each project."""
     from quarrylib.functions import paths

@@ -832,3 +832,36 @@ def span_format(t: T.Tables) -> DataFrame:
     attrs = F.when(s % 3 == 0, F.array(F.lit("A"), F.lit("L9-x"))).otherwise(F.array().cast("array<string>"))
     rows = t.read("part").select(F.col("p_partkey").alias("node"), sinks.span_text(s, s, s + 5).alias("span"), sinks.method_text(F.col("p_name"), s, s + 5, F.lit(6), F.lit(2), file, attrs).alias("method"))
     return rows.withColumn("m", sinks.parse_method(F.col("method"))).select("node", "span", "method", "m.line_start", "m.line_end", "m.file_id")
+
+
+@query(with_(T.DAG, "known AS (SELECT p_partkey AS node FROM part WHERE p_size < 40)", "e AS (SELECT * FROM dag WHERE src IN (SELECT node FROM known) AND dst IN (SELECT node FROM known))")
+  + """SELECT node, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY dst) FROM e WHERE src = node), '') AS deps,
+  coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM e WHERE dst = node), '') AS dependents FROM known""")
+def dependency_map(t: T.Tables) -> DataFrame:
+    known = t.read("part").filter("p_size < 40").select(F.col("p_partkey").alias("node"))
+    return graph.dependency_map(known, t.dag()).withColumns({"deps": joined("deps"), "dependents": joined("dependents")})
+
+
+@query(
+  """SELECT project, fqn, k.f AS file_id, k.a AS line_start, k.a + 9 AS line_end FROM (SELECT l_returnflag AS project, 'O' || l_orderkey AS fqn, min({f: l_suppkey, p: l_linenumber, a: l_partkey}) AS k FROM lineitem GROUP BY 1, 2)""")
+def primary_spans(t: T.Tables) -> DataFrame:
+    rows = t.read("lineitem").select(
+        F.col("l_returnflag").alias("project"), F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("fqn"), F.col("l_suppkey").alias("file_id"),
+        F.struct("l_linenumber", "l_partkey").alias("pos"), F.col("l_partkey").alias("line_start"), (F.col("l_partkey") + 9).alias("line_end"),
+    )
+    return types.primary_spans(rows)
+
+
+@query("""SELECT p_partkey AS node, CASE p_size % 4 WHEN 0 THEN 'api/' || p_size WHEN 1 THEN 'a' END AS argument FROM part""")
+def first_quoted_arguments(t: T.Tables) -> DataFrame:
+    k = F.col("p_size") % 4
+    attribute = F.when(k == 0, F.concat(F.lit("Route('api/"), _n("p_size"), F.lit("', Name = 'x')"))).when(k == 1, "A(1, 'a')").when(k == 2, "Plain").otherwise("Open('x'")
+    return t.read("part").select(F.col("p_partkey").alias("node"), names.first_quoted(attribute).alias("argument"))
+
+
+@query(f"""SELECT lpad(complexity::VARCHAR, 12, ' ') || lpad(loc::VARCHAR, 7, ' ') || '  ' || project || '::' || fqn || '.' || name AS line
+  FROM (SELECT * FROM {METHODS} ORDER BY complexity DESC, loc DESC, project, fqn, name, line_start LIMIT 20)""")
+def top_method_lines(t: T.Tables) -> DataFrame:
+    from quarrylib import sinks
+
+    return sinks.top_method_lines(types.top_methods(t.methods())).select("line")

@@ -173,6 +173,24 @@ def metrics_lines(totals: DataFrame) -> DataFrame:
     return _numbered(totals.sparkSession.range(1).select(F.lit("0").alias("ord"), head.alias("line")), body, total)
 
 
+def top_method_lines(top: DataFrame) -> DataFrame:
+    """A line for each of ``top_methods``, without the project where all are of one."""
+    one = top.agg((F.countDistinct("project") <= 1).alias("one"))
+    label = F.concat(F.when(F.col("one"), "").otherwise(F.concat("project", F.lit("::"))), "fqn", F.lit("."), "name")
+    order = Window.orderBy(F.desc("complexity"), F.desc("loc"), "project", "fqn", "name", "line_start")  # a few rows
+    rows = top.crossJoin(F.broadcast(one)).withColumn("n", F.row_number().over(order))
+    line = F.concat(F.lpad(F.col("complexity").cast("string"), 12, " "), F.lpad(F.col("loc").cast("string"), 7, " "), F.lit("  "), label)
+    return _numbered(rows.select(F.lpad(F.col("n").cast("string"), 9, "0").alias("ord"), line.alias("line")))
+
+
+def endpoint_method_json(methods: DataFrame) -> DataFrame:
+    """``project, fqn, value``: a method's bare name as JSON, or an object where there is more to say."""
+    more = F.col("verb").isNotNull() | F.col("route").isNotNull() | (F.size("dtos") > 0) | (F.size("extras") > 0)
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    whole = F.to_json(F.struct("name", "verb", "route", some("dtos"), some("extras")))
+    return methods.select("project", "fqn", F.when(more, whole).otherwise(F.concat(F.lit('"'), "name", F.lit('"'))).alias("value"))
+
+
 def finding_lines(findings: DataFrame) -> DataFrame:
     return findings.select(F.col("severity").alias("ord"), F.concat(F.lit("["), "severity", F.lit("] "), "kind", F.lit(": "), F.concat_ws(" ", "project", F.nullif("detail", F.lit("")))).alias("line"))
 
