@@ -293,9 +293,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Similarity is that of the sets of ``words``-word shingles (Jaccard). Candidates meet by the Golay
     keys of their fingerprints and, since texts of 0.8 differ in too many bits for these, by bands of
     least hashes. Texts of one set are one node. A band that few share gives all its pairs, of a
-    bounded number for each text; one that many share gives each text with the band's leader, a member
-    drawn by a hash, another in each band, so no band pairs all of a crowd. Every pair is verified on
-    the whole sets, which are made again for texts with a candidate only. Texts without words are one node.
+    bounded number for each text. One that many share gives each text with two of its members, so no
+    band pairs all of a crowd: its centre, which shares the most bands with the most others, as the
+    original of many copies does, and one drawn by a hash, another in each band. Every pair is verified
+    on the whole sets, which are made again for texts with a candidate only. Texts without words are one
+    node.
     """
     text = F.col(text_col).cast("string")
     named = docs.select(id_key(F.col(id_col)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -303,11 +305,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     nodes = rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("key", "text_hash")).alias("at"))
     nodes = durable(nodes, "sketch-nodes")
     keyed = nodes.select("sig", F.posexplode("bands").alias("band", "k"))
-    shared = keyed.groupBy("band", "k").agg(F.count("*").alias("n"), F.min_by("sig", F.xxhash64("sig", "band")).alias("leader")).filter("n > 1")
+    shared = keyed.groupBy("band", "k").agg(F.count("*").alias("n")).filter("n > 1")
     held = durable(keyed.join(shared, ["band", "k"]), "sketch-held")
     few = held.filter(F.col("n") <= CROWD).groupBy("band", "k").agg(F.array_sort(F.collect_list("sig")).alias("s"))
     few = few.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    many = held.filter((F.col("n") > CROWD) & (F.col("sig") != F.col("leader"))).select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b"))
+    crowd = held.filter(F.col("n") > CROWD).join(held.groupBy("sig").agg(F.sum("n").alias("company")), "sig")
+    leaders = crowd.groupBy("band", "k").agg(
+        F.array(F.max_by("sig", F.struct("company", "sig")), F.min_by("sig", F.xxhash64("sig", "band"))).alias("leaders")
+    )
+    many = crowd.join(leaders, ["band", "k"]).select("sig", F.explode("leaders").alias("to")).filter("sig <> to")
+    many = many.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b"))
     heads = nodes.groupBy("fp").agg(F.min("sig").alias("head"))
     same = nodes.join(heads, "fp").filter("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
     near = links(heads).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -96,6 +96,20 @@ def test_similar_texts(spark, crowd):
     assert sorted(r.doc_id for r in kept.collect()) == groups(docs)
 
 
+def test_copies_that_only_their_original_is_like(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    text = [word() for _ in range(400)]
+    docs = [(500, " ".join(text))]
+    for k in range(120):
+        w = list(text)
+        for i in rnd.sample(range(5, 395, 5), 8):
+            w[i] = word()
+        docs.append((k, " ".join(w)))
+    kept = sh.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == groups(docs) == [0]
+
+
 def test_similar_texts_of_odd_tables(spark):
     docs = [(5, "a b c d"), (3, "A  B c\td"), (3, "a b c d"), (7, None), (9, " "), (4, "solo words"), (4, "other thing here"), (8, "w " * 50_000), (6, "W " * 40_000), (6, "W " * 40_000)]
     df = spark.createDataFrame([(d, t, None) for d, t in docs], "doc_id long, text string, sig int")
