@@ -60,22 +60,29 @@ def releasing(run: Callable) -> Callable:
 
 
 AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+IS_SPACE = bytes(chr(c) in SPACES for c in range(256))
+
+
+def marked(data: bytes, table: bytes) -> np.ndarray:
+    """Whether each byte is one that a table of 256 holds a 1 for; bytes.translate needs no wide index."""
+    return np.frombuffer(data.translate(table), np.bool_)
 
 
 def split_words(
-    texts: list[bytes], more: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    texts: list[bytes], more: Callable[[bytes, np.ndarray, np.ndarray], np.ndarray] | None = None
 ) -> tuple[pa.Array, np.ndarray]:
     """The words between ASCII white space of some texts, in one array, and how many words each text has.
 
-    ``more``, of all bytes and whether each is white space, gives places inside words where another begins.
+    ``more``, of all bytes, as such and as an array, and whether each is white space, gives places
+    inside words where another begins.
     """
-    x = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    space = IS_SPACE[x]
+    joined = b"\n".join([*texts, b""])
+    x = np.frombuffer(joined, np.uint8)
+    space = marked(joined, IS_SPACE)
     start = ~space
     start[1:] &= space[:-1]
     if more is not None:
-        start[more(x, space)] = True
+        start[more(joined, x, space)] = True
     cuts = np.flatnonzero(space | start)
     word = np.flatnonzero(start[cuts])
     starts = cuts[word]

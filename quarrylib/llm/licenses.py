@@ -16,7 +16,7 @@ from .common import durable, id_key, lower_az, table, text_or_empty
 WINDOW, STEP = 48, 24
 #: Buckets of the word n-grams.
 BUCKETS = 1 << 13
-#: Documents whose windows stand for text without a licence, at most, and windows of these.
+#: Documents whose windows stand for text without a licence, about, and windows of these at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 2000
 #: A family is named from this calibrated probability on, and confirmed from this likeness to a template on.
 MIN_PROBABILITY, MIN_LIKENESS = 0.5, 0.6
@@ -181,7 +181,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     families = list(TEMPLATES)
     notices = [(k + 1, t) for k, f in enumerate(families) for t in TEMPLATES[f]]
     threes = F.array_distinct(F.flatten(F.array(*[grams(words_of(F.lit(t)), 3) for _, t in notices])))
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("id", "text")).limit(SAMPLE_DOCS)
+    share = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * (1 << 30))
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = some.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).limit(2 * SAMPLE_DOCS)
     plain = [
         r[0]
         for r in windows(some, "id", "text")

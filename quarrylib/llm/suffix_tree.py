@@ -29,7 +29,7 @@ CHUNK = 1 << 22
 #: Words of at least this share of the training tokens are broadcast with their counts: 1 / HEAVY at most.
 HEAVY = 1e-5
 #: Bytes of text that are cut into words at a time.
-BYTES = 16 << 20
+BYTES = 6 << 20
 
 
 # ---------------------------------------------------------------- words and symbols

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import AZ, NULL_ID, durable, id_key, releasing, split_words, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, marked, releasing, split_words, table, text_or_empty, text_runs
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
 BLOCK_IDS = 1 << 23
@@ -28,12 +28,12 @@ CHUNK = 6 << 20
 PARTITION_BYTES = 48 << 20
 ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 #: ASCII punctuation but for the apostrophe, which contractions begin with, and the bar of special tokens.
-MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"))
+MARKS = bytes(c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~" for c in range(256))
 
 
-def stops(x: np.ndarray, space: np.ndarray) -> np.ndarray:
+def stops(joined: bytes, x: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Runs of punctuation at the end of words, after an ASCII letter or digit."""
-    mark = MARKS[x]
+    mark = marked(joined, MARKS)
     edge = np.flatnonzero(mark[1:] != mark[:-1]) + 1  # x ends with a space, so runs are whole
     first, after = edge[mark[edge]], edge[~mark[edge]]
     after = after[len(after) - len(first) :]  # a run at the very start has no letter before

@@ -15,7 +15,7 @@ from .common import durable, table
 BLOCK, SHARD = 128, 32_768
 #: Queries that one task answers, about.
 QUERIES = 1024
-#: Blocks lie along the nearest of so many centres, from at most so many vectors. They steer pruning only.
+#: Blocks lie along the nearest of so many centres, from about so many vectors. They steer pruning only.
 CENTRES, SAMPLE = 64, 4096
 
 
@@ -156,7 +156,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """
     rows = durable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "x").dropna(), "vectors")
     count = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id", "x")).limit(SAMPLE).toPandas()["x"].tolist()
+    share = int(min(1.0, SAMPLE / max(1, count)) * (1 << 30))
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) < share).limit(2 * SAMPLE).toPandas()["x"].tolist()
     dims = max(map(len, sample), default=0)
     middle = centres(_matrix(sample, dims)) if sample else np.zeros((1, 0))
 
