@@ -447,8 +447,8 @@ def top_methods_filtered(t: T.Tables) -> DataFrame:
 
 @query("""WITH p AS (SELECT l_returnflag AS project, 'O' || l_orderkey AS fqn, l_linenumber AS f, concat_ws('_', l_partkey, l_suppkey) AS pos, l_quantity::BIGINT AS loc, l_linenumber AS complexity,
   'B' || l_partkey % 4 AS base, l_linestatus AS attr, 'R' || l_suppkey % 9 AS ref FROM lineitem),
-first_base AS (SELECT project, fqn, string_agg(base, ',' ORDER BY k) AS bases FROM (SELECT project, fqn, base, min({f: f, pos: pos}) AS k FROM p GROUP BY project, fqn, base) GROUP BY project, fqn),
-first_attr AS (SELECT project, fqn, string_agg(attr, ',' ORDER BY k) AS attributes FROM (SELECT project, fqn, attr, min({f: f, pos: pos}) AS k FROM p GROUP BY project, fqn, attr) GROUP BY project, fqn)
+first_base AS (SELECT project, fqn, string_agg(base, ',' ORDER BY k, base) AS bases FROM (SELECT project, fqn, base, min({f: f, pos: pos}) AS k FROM p GROUP BY project, fqn, base) GROUP BY project, fqn),
+first_attr AS (SELECT project, fqn, string_agg(attr, ',' ORDER BY k, attr) AS attributes FROM (SELECT project, fqn, attr, min({f: f, pos: pos}) AS k FROM p GROUP BY project, fqn, attr) GROUP BY project, fqn)
 SELECT p.project, p.fqn, count(*)::BIGINT AS parts, sum(loc)::BIGINT AS loc, count(*)::BIGINT AS members, sum(complexity)::BIGINT AS complexity, string_agg(DISTINCT ref, ',' ORDER BY ref) AS referenced_types,
   any_value(bases) AS bases, any_value(attributes) AS attributes FROM p JOIN first_base USING (project, fqn) JOIN first_attr USING (project, fqn) GROUP BY p.project, p.fqn""")
 def partial_type_merge(t: T.Tables) -> DataFrame:
