@@ -42,9 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
-    Cuts the lineage; unlike a cache it survives the loss of executors.
+    Cuts the lineage; unlike a cache it survives the loss of executors. The table is deleted when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
