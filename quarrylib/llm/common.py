@@ -42,23 +42,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def releasing(run: Callable) -> Callable:
-    """A partition function that gives freed memory back to the system when it ends.
+#: What a Python worker keeps between tasks, by the name of the operator that keeps it.
+_kept: dict[str, dict] = {}
 
-    A Python worker lives on between tasks, beside those of other stages.
+
+def kept(name: str) -> dict:
+    return _kept.setdefault(name, {})
+
+
+def releasing(run: Callable, name: str = "") -> Callable:
+    """A partition function that gives memory back to the system.
+
+    A Python worker lives on between tasks, beside those of other stages. What operators other than ``name``
+    kept in it goes when a task begins, and freed memory is returned when it ends.
     """
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        forget_others(name)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
 
 
+def forget_others(name: str) -> None:
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 IS_SPACE = bytes(chr(c) in SPACES for c in range(256))
 

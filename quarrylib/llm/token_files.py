@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import AZ, NULL_ID, durable, id_key, marked, releasing, split_words, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, kept, marked, releasing, split_words, table, text_or_empty, text_runs
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
 BLOCK_IDS = 1 << 23
@@ -134,14 +135,12 @@ class Encoder:
         return self.flat[at], np.diff(done[last + np.arange(len(last))], prepend=0)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def _encoder(path: str, word_split: bool) -> Encoder:
     """One for a worker, which may serve many tasks."""
-    if (path, word_split) not in _encoders:
-        _encoders[path, word_split] = Encoder(path, word_split)
-    return _encoders[path, word_split]
+    encoders = kept("encoders")
+    if (path, word_split) not in encoders:
+        encoders[path, word_split] = Encoder(path, word_split)
+    return encoders[path, word_split]
 
 
 BLOCKS = "block long, keys binary, sizes binary, n_ids long, data binary"
@@ -155,7 +154,6 @@ def _write(path: str, end_id: int, word_split: bool):
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "sizes", "n_ids", "data"])
 
-    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, word_split)
         number, keys, sizes, ids, held = 0, [], [], [], 0
@@ -178,10 +176,10 @@ def _write(path: str, end_id: int, word_split: bool):
         if held:
             yield block(number, keys, sizes, ids)
 
-    return run
+    return releasing(run, "encoders")
 
 
-@releasing
+@functools.partial(releasing, name="encoders")
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "block", "key", "first", "n_tokens", "ids_crc32"]
     for b in batches:
