@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, table, text_or_empty, word_count
+from .common import id_key, table, word_count
 
 #: Hexadecimal digits of the random key that name its range.
 RANGE_DIGITS = 3
