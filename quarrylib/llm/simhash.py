@@ -310,9 +310,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     few = held.filter(F.col("n") <= CROWD).groupBy("band", "k").agg(F.array_sort(F.collect_list("sig")).alias("s"))
     few = few.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
     crowd = held.filter(F.col("n") > CROWD).join(held.groupBy("sig").agg(F.sum("n").alias("company")), "sig")
-    leaders = crowd.groupBy("band", "k").agg(
-        F.array(F.max_by("sig", F.struct("company", "sig")), F.min_by("sig", F.xxhash64("sig", "band"))).alias("leaders")
-    )
+    two = F.array(F.max_by("sig", F.struct("company", "sig")), F.min_by("sig", F.xxhash64("sig", "band")))
+    leaders = durable(crowd.groupBy("band", "k").agg(two.alias("leaders")), "leaders")  # so that the join may split a crowd
     many = crowd.join(leaders, ["band", "k"]).select("sig", F.explode("leaders").alias("to")).filter("sig <> to")
     many = many.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b"))
     heads = nodes.groupBy("fp").agg(F.min("sig").alias("head"))
