@@ -227,8 +227,10 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 #: Bands of least hashes, and hashes of a band: at a similarity of 0.8 all bands of a pair differ in 2 of 10,000 cases.
 BANDS, ROWS = 12, 3
-#: Texts that share a band with no more others than this are compared in pairs, others with the band's leader.
+#: Texts that share a band with no more others than this are compared in pairs, others with the band's leaders first.
 CROWD = 16
+#: Texts, and bytes of their shingles, of a block; what leaders leave apart in a crowd is compared block by block.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 _rng = np.random.default_rng(2024)
 _MULTIPLY = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -287,6 +289,93 @@ def _alike(similarity: float):
     return run
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many hashes each set of ``xs`` shares with each of ``ys``."""
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    if not len(shared):
+        return out
+    sides = []
+    for sets in (xs, ys):
+        x = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        code = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+        order = np.flatnonzero(shared[code] == x)
+        order = order[np.argsort(code[order], kind="stable")]
+        sides.append((row[order], code[order]))
+    for i in range(0, len(shared), columns):  # a part of the hashes at a time
+        made = []
+        for (row, code), n in zip(sides, out.shape, strict=True):
+            a, b = np.searchsorted(code, (i, i + columns))
+            one = np.zeros((n, columns), np.float32)
+            one[row[a:b], code[a:b] - i] = 1
+            made.append(one)
+        out += (made[0] @ made[1].T).astype(np.int64)
+    return out
+
+
+def _between(similarity: float):
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        """Of the links between two blocks, or within one, a spanning set: components that they join."""
+        mine = pair[pair["side"] == 0]
+        other = pair[pair["side"] == 1] if (pair["x"] != pair["y"]).any() else mine
+        xs, ys = ([np.frombuffer(s, "<u8") for s in part["shingles"]] for part in (mine, other))
+        of_x, of_y = mine["component"].to_numpy(np.int64), other["component"].to_numpy(np.int64)
+        n, m = np.array([len(s) for s in xs])[:, None], np.array([len(s) for s in ys])
+        apart = (of_x[:, None] != of_y) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+        out: list[tuple[int, int]] = []
+        if apart.any():
+            both = overlaps(xs, ys)
+            root = {c: c for c in [*of_x.tolist(), *of_y.tolist()]}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i, j in np.argwhere(apart & (both >= similarity * (n + m - both))):
+                a, b = top(int(of_x[i])), top(int(of_y[j]))
+                if a != b:
+                    root[a] = b
+                    out.append((int(of_x[i]), int(of_y[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def across(crowd: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """``a, b``: edges that connect the components whose texts are alike and share a crowded band; None if no crowd has two.
+
+    ``crowd(band, k, sig)``, ``parts(sig, component)``, ``sets(sig, shingles)``. Exact: each two texts of a crowd
+    that are in different components are compared on their whole sets. A crowd is dealt by hashes into blocks
+    of a bounded size, a component larger than a block into blocks of its own, which need not meet each other.
+    Each two other blocks are a group, so the work grows with the square of what is apart, over all
+    machines, while no task holds more than two blocks.
+    """
+    at, part = ["band", "k"], ["band", "k", "big", "owner"]
+    member = crowd.select(*at, "sig").join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    member = durable(member.join(sets.select("sig", F.length("shingles").alias("bytes")), "sig"), "crowd-members")
+    each = member.groupBy(*at, "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    mixed = each.join(each.groupBy(at).agg(F.count("*").alias("parts")).filter("parts > 1"), at)
+    mixed = mixed.withColumn("big", F.col("m") > BLOCK).withColumn("owner", F.when(F.col("big"), F.col("component")).otherwise(F.lit(0)))
+    mixed = durable(mixed, "crowd-parts")
+    if mixed.isEmpty():
+        return None
+    blocks = F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = mixed.groupBy(part).agg(blocks.alias("blocks"))
+    block = F.xxhash64(*part, "salt")
+    every = durable(dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*part, block.alias("block")), "crowd-blocks")
+    x, y = every.withColumnRenamed("block", "x"), every.toDF(*at, "big_y", "owner_y", "y")
+    pairs = x.join(y, at).filter("x <= y AND (x = y OR NOT (big AND big_y AND owner = owner_y))").filter("x < y OR NOT big").select("x", "y")
+    first = pairs.select(F.col("x").alias("block"), "x", "y", F.lit(0).alias("side"))
+    second = pairs.filter("x < y").select(F.col("y").alias("block"), "x", "y", F.lit(1).alias("side"))
+    salt = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    placed = member.join(mixed.select(*part, "component"), [*at, "component"]).join(dealt, part)
+    placed = placed.withColumn("salt", salt).select("sig", "component", block.alias("block"))
+    tasks = placed.join(first.union(second), "block").join(sets, "sig").select("x", "y", "side", "component", "shingles")
+    return tasks.groupBy("x", "y").applyInPandas(_between(similarity), "a long, b long")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``key, text_hash, component`` of each row: texts that links of ``similarity`` or more connect share a component.
 
@@ -294,8 +383,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     keys of their fingerprints and, since texts of 0.8 differ in too many bits for these, by bands of
     least hashes. Texts of one set are one node. A band that few share gives all its pairs, of a
     bounded number for each text. One that many share gives each text with two of its members, so no
-    band pairs all of a crowd: its centre, which shares the most bands with the most others, as the
-    original of many copies does, and one drawn by a hash, another in each band. Every pair is verified
+    band pairs all of a crowd at first: its centre, which shares the most bands with the most others, as the
+    original of many copies does, and one drawn by a hash, another in each band. What this leaves in
+    different components of a crowd is then compared in full, see ``across``. Every pair is verified
     on the whole sets, which are made again for texts with a candidate only. Texts without words are one
     node.
     """
@@ -324,7 +414,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = durable(texts.mapInPandas(_sets(words), "sig long, shingles binary"), "shingle-sets")
     both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     parts = connected_components(both.mapInPandas(_alike(similarity), "a long, b long"))
-    parts = parts.withColumnRenamed("node", "sig")
+    parts = durable(parts.withColumnRenamed("node", "sig"), "similar-parts")
+    joins = across(crowd, parts, sets, similarity)
+    if joins is not None:
+        whole = connected_components(joins).toDF("component", "whole")
+        texts = parts.join(crowd.select("sig").distinct(), "sig", "full").withColumn("component", F.coalesce("component", "sig"))
+        parts = texts.join(whole, "component", "left").select("sig", F.coalesce("whole", "component").alias("component"))
     return rows.select("key", "text_hash", "sig").join(parts, "sig", "left").select("key", "text_hash", F.coalesce("component", "sig").alias("component"))
 
 

@@ -110,6 +110,30 @@ def test_copies_that_only_their_original_is_like(spark):
     assert [r.doc_id for r in kept.collect()] == groups(docs) == [0]
 
 
+@pytest.mark.parametrize("block", [sh.BLOCK, 40])
+def test_edited_copies_without_their_original(spark, monkeypatch, block):
+    """Similarities spread around 0.8: few pairs reach it, so most texts have no link to a leader of a band."""
+    monkeypatch.setattr(sh, "BLOCK", block)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    text, docs = [word() for _ in range(400)], []
+    for k in range(300):
+        w = list(text)
+        for i in rnd.sample(range(5, 395, 5), 5):
+            w[i] = word()
+        docs.append((k, " ".join(w)))
+    kept = sh.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == groups(docs)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(5)
+    xs, ys = ([np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in sizes] for sizes in ((1, 50, 200), (3, 120)))
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert sh.overlaps(xs, ys, 7).tolist() == sh.overlaps(xs, ys).tolist() == want
+    assert not sh.overlaps(xs, [y + np.uint64(1000) for y in ys]).any()
+
+
 def test_similar_texts_of_odd_tables(spark):
     docs = [(5, "a b c d"), (3, "A  B c\td"), (3, "a b c d"), (7, None), (9, " "), (4, "solo words"), (4, "other thing here"), (8, "w " * 50_000), (6, "W " * 40_000), (6, "W " * 40_000)]
     df = spark.createDataFrame([(d, t, None) for d, t in docs], "doc_id long, text string, sig int")
