@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylib.session import durable
+from quarrylib.session import drop_durable, durable, spread_join
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -15,9 +15,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond"): each node hands its neighbours its least neighbour, until the graph is a set of
-    stars. A node's minimum is an aggregate, summed before the shuffle, and comes back by an equi-join
-    that Spark may split, so a node with very many neighbours is never gathered in one task. Each
-    round's edges are written, so no lineage grows and lost executors cost one round at most.
+    stars. A node's minimum is an aggregate, summed before the shuffle, and comes back by a
+    ``spread_join``, so a node with very many neighbours is never gathered in one task. Each
+    round's edges are written, so no lineage grows and lost executors cost one round at most; those of
+    the round before are deleted.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
     nodes = durable(e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "cc-nodes")
@@ -27,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = durable(_small_star(_large_star(e)), "cc-edges")
+        last, e = e, durable(_small_star(_large_star(e)), "cc-edges")
+        drop_durable(last)
         now = _mark(e)
         if now == before:
             break
@@ -35,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return spread_join(nodes, roots, ["node"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -47,12 +49,12 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Edges (a > b): every larger neighbour of a node gets the least of the node and its neighbours."""
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    hit = both.filter("b > a").join(least, "a")
+    hit = spread_join(both.filter("b > a"), least, ["a"])
     return hit.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Edges (a > b): each node and its smaller neighbours get the least of these."""
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    moved = spread_join(e, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()

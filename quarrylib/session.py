@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quarrylib", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,11 +30,13 @@ def build_session(app: str = "quarrylib", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors see.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a local folder is made and named there.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a local session,
+    as in tests, makes a folder and names it there; on a cluster executors would not see each other's.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("name a folder that the driver and all executors share in spark.checkpoint.dir")
         where = "file://" + tempfile.mkdtemp(prefix="quarrylib-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -51,3 +54,22 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_durable(df: DataFrame) -> None:
+    """Delete the table behind a result of ``durable`` that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys)`` that Spark can split where a key is hot.
+
+    Adaptive execution splits only shuffles that lie directly under a join. A side that was aggregated by
+    the same keys would keep that dealing, without a shuffle of its own; a further key, a hash of the
+    others, has both sides dealt anew.
+    """
+    dealt = F.xxhash64(*keys)
+    return left.withColumn("_dealt", dealt).join(right.withColumn("_dealt", dealt), [*keys, "_dealt"], how).drop("_dealt")
