@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_key, lower_az, table, text_or_empty
+from .common import SPACES, id_key, lower_az, spread_join, table, text_or_empty
 
 
 def line_key(line: Column) -> Column:
@@ -26,8 +26,8 @@ def dedup_lines(
     gives none. Columns named ``n_lines`` or ``n_dropped`` are replaced; others pass through.
 
     Keys move as two 64-bit hashes, counted from (key, id) pairs that are distinct, so a line that
-    most documents hold is summed before it meets; lines join that table by a plain equi-join that
-    Spark may split. Texts move once, to meet the positions of their dropped lines.
+    most documents hold is summed before it meets; lines join that table by an equi-join that deals both
+    sides anew, so that Spark may split a hot line. Texts move once, to meet the positions of their dropped lines.
     """
     base = docs.withColumns(
         {
@@ -51,7 +51,7 @@ def dedup_lines(
         .select("h1", "h2", "keeper")
     )
     drops = (
-        lines.join(repeated, ["h1", "h2"])
+        spread_join(lines, repeated, ["h1", "h2"])
         .filter(F.col("_ld_id") != F.col("keeper"))
         .groupBy("_ld_id", "_ld_hash")
         .agg(F.collect_set("pos").alias("_ld_drop"))
