@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylib.session import durable, shared_dir  # noqa: F401
+from quarrylib.session import drop_durable, durable, shared_dir, spread_join  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ``[\x20\x09-\x0D]``: what separates words in the contracts.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylib.operators.components import connected_components
 
-from .common import AZ, NULL_ID, durable, id_key, releasing, table
+from .common import AZ, NULL_ID, durable, id_key, releasing, spread_join, table
 
 SEED, BITS = 42, 64
 #: A fingerprint's three segments as (first bit, bits); each is a Golay word with zeros above.
@@ -132,21 +132,24 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": keys, "fp": fps[rows]})
 
 
-@releasing
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each bucket's links a spanning set: fewer rows than fingerprints."""
-    for b in batches:
-        out = []
-        for bucket in b["members"]:
-            fps = np.array(bucket, np.int64)
-            x = fps.view(np.uint64)
-            linked = np.triu(np.bitwise_count(x[:, None] ^ x) <= 2, 1)
-            root = np.arange(len(fps))
-            for i, j in np.argwhere(linked):
-                if root[i] != root[j]:
-                    out.append((fps[i], fps[j]))
-                    root[root == root[j]] = root[i]
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _compare(spanning: bool):
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each bucket's links, or of them a spanning set: fewer rows than fingerprints."""
+        for b in batches:
+            out = []
+            for bucket in b["members"]:
+                fps = np.array(bucket, np.int64)
+                x = fps.view(np.uint64)
+                linked = np.triu(np.bitwise_count(x[:, None] ^ x) <= 2, 1)
+                root = np.arange(len(fps))
+                for i, j in np.argwhere(linked):
+                    if not spanning or root[i] != root[j]:
+                        out.append((fps[i], fps[j]))
+                        root[root == root[j]] = root[i]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 @releasing
@@ -157,9 +160,11 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"v": v.ravel().view(np.int64), "fp": np.repeat(b["fp"].to_numpy(), len(flips))})
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, spanning: bool = True) -> DataFrame:
     """``a, b``: edges that connect what links of two bits or fewer connect, from ``fp``, each value once.
 
+    With ``spanning`` false all links of small buckets are given, for users who go on to verify them.
+
     Fingerprints meet by their Golay keys. Keys are counted first, summed before the shuffle; those
     of one fingerprint go no further. Buckets of up to ``BUCKET`` are compared in full and give a
     spanning set of their links. Fingerprints of larger buckets give their 65 variants within one
@@ -169,13 +174,13 @@ def links(fps: DataFrame) -> DataFrame:
     """
     keys = durable(fps.select("fp").mapInPandas(_keys, "key long, fp long"), "golay-keys")
     counts = keys.groupBy("key").count().filter("count > 1")
-    held = durable(keys.join(counts, "key"), "golay-held")
+    held = durable(spread_join(keys, counts, ["key"]), "golay-held")
     small = (
         held.filter(F.col("count") <= BUCKET)
         .groupBy("key")
         .agg(F.collect_list("fp").alias("members"))
         .select("members")
-        .mapInPandas(_compare, "a long, b long")
+        .mapInPandas(_compare(spanning), "a long, b long")
     )
     variants = held.filter(F.col("count") > BUCKET).select("fp").distinct().mapInPandas(_variants, "v long, fp long")
     stars = (
@@ -213,230 +218,14 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     """``key, text_hash, fp, component, root`` for each row; component is one of its fingerprints."""
     rows = durable(fingerprints(docs, id_col, text_col, words), "fingerprints")
     heads = durable(rows.groupBy("fp").agg(F.min("key").alias("least")), "fp-heads")
-    parts = connected_components(links(heads)).withColumnRenamed("node", "fp").join(heads, "fp")
+    parts = spread_join(connected_components(links(heads)).withColumnRenamed("node", "fp"), heads, ["fp"])
     parts = durable(parts, "fp-parts")
     roots = parts.groupBy("component").agg(F.min("least").alias("root"))
-    linked = parts.select("fp", "component").join(roots, "component")
+    linked = spread_join(parts.select("fp", "component"), roots, ["component"])
     found = heads.join(linked, "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("root", "least").alias("root")
     )
-    return rows.join(found, "fp")
-
-
-# ---------------------------------------------------------------- similar texts
-
-#: Bands of least hashes, and hashes of a band: at a similarity of 0.8 all bands of a pair differ in 2 of 10,000 cases.
-BANDS, ROWS = 12, 3
-#: Texts that share a band with no more others than this are compared in pairs, others with the band's leaders first.
-CROWD = 16
-#: Texts, and bytes of their shingles, of a block; what leaders leave apart in a crowd is compared block by block.
-BLOCK, BLOCK_BYTES = 256, 4 << 20
-_rng = np.random.default_rng(2024)
-_MULTIPLY = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-
-
-def sketch(h: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of the least of its permuted hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 4096):
-        x = h[i : i + 4096, None] * _MULTIPLY + _ADD
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-    rows = least.reshape(BANDS, ROWS).astype("<u8")
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
-
-
-def _sketches(words: int):
-    @releasing
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                h = hashes(t, words)
-                different = np.unique(h)
-                sig = xxhash.xxh64_intdigest(different.astype("<u8").tobytes(), SEED)
-                out.append((np.uint64(sig).view(np.int64), np.uint64(fingerprint(h)).view(np.int64), sketch(different) if len(h) else []))
-            made = pd.DataFrame(out, columns=["sig", "fp", "bands"])
-            yield pd.concat([b[["key", "text_hash"]].reset_index(drop=True), made], axis=1)
-
-    return run
-
-
-def _sets(words: int):
-    @releasing
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [np.unique(hashes(t, words)).astype("<u8").tobytes() for t in b["text"]]
-            yield pd.DataFrame({"sig": b["sig"], "shingles": made})
-
-    return run
-
-
-def _alike(similarity: float):
-    @releasing
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["of_a"], b["of_b"], strict=True):
-                n, m = len(x) // 8, len(y) // 8
-                if min(n, m) < similarity * max(n, m):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                keep.append(both >= similarity * (n + m - both))
-            yield b.loc[keep, ["a", "b"]]
-
-    return run
-
-
-def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many hashes each set of ``xs`` shares with each of ``ys``."""
-    out = np.zeros((len(xs), len(ys)), np.int64)
-    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
-    if not len(shared):
-        return out
-    sides = []
-    for sets in (xs, ys):
-        x = np.concatenate(sets)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        code = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
-        order = np.flatnonzero(shared[code] == x)
-        order = order[np.argsort(code[order], kind="stable")]
-        sides.append((row[order], code[order]))
-    for i in range(0, len(shared), columns):  # a part of the hashes at a time
-        made = []
-        for (row, code), n in zip(sides, out.shape, strict=True):
-            a, b = np.searchsorted(code, (i, i + columns))
-            one = np.zeros((n, columns), np.float32)
-            one[row[a:b], code[a:b] - i] = 1
-            made.append(one)
-        out += (made[0] @ made[1].T).astype(np.int64)
-    return out
-
-
-def _between(similarity: float):
-    def run(pair: pd.DataFrame) -> pd.DataFrame:
-        """Of the links between two blocks, or within one, a spanning set: components that they join."""
-        mine = pair[pair["side"] == 0]
-        other = pair[pair["side"] == 1] if (pair["x"] != pair["y"]).any() else mine
-        xs, ys = ([np.frombuffer(s, "<u8") for s in part["shingles"]] for part in (mine, other))
-        of_x, of_y = mine["component"].to_numpy(np.int64), other["component"].to_numpy(np.int64)
-        n, m = np.array([len(s) for s in xs])[:, None], np.array([len(s) for s in ys])
-        apart = (of_x[:, None] != of_y) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
-        out: list[tuple[int, int]] = []
-        if apart.any():
-            both = overlaps(xs, ys)
-            root = {c: c for c in [*of_x.tolist(), *of_y.tolist()]}
-
-            def top(c: int) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            for i, j in np.argwhere(apart & (both >= similarity * (n + m - both))):
-                a, b = top(int(of_x[i])), top(int(of_y[j]))
-                if a != b:
-                    root[a] = b
-                    out.append((int(of_x[i]), int(of_y[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return run
-
-
-def across(crowd: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """``a, b``: edges that connect the components whose texts are alike and share a crowded band; None if no crowd has two.
-
-    ``crowd(band, k, sig)``, ``parts(sig, component)``, ``sets(sig, shingles)``. Exact: each two texts of a crowd
-    that are in different components are compared on their whole sets. A crowd is dealt by hashes into blocks
-    of a bounded size, a component larger than a block into blocks of its own, which need not meet each other.
-    Each two other blocks are a group, so the work grows with the square of what is apart, over all
-    machines, while no task holds more than two blocks.
-    """
-    at, part = ["band", "k"], ["band", "k", "big", "owner"]
-    member = crowd.select(*at, "sig").join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    member = durable(member.join(sets.select("sig", F.length("shingles").alias("bytes")), "sig"), "crowd-members")
-    each = member.groupBy(*at, "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
-    mixed = each.join(each.groupBy(at).agg(F.count("*").alias("parts")).filter("parts > 1"), at)
-    mixed = mixed.withColumn("big", F.col("m") > BLOCK).withColumn("owner", F.when(F.col("big"), F.col("component")).otherwise(F.lit(0)))
-    mixed = durable(mixed, "crowd-parts")
-    if mixed.isEmpty():
-        return None
-    blocks = F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = mixed.groupBy(part).agg(blocks.alias("blocks"))
-    block = F.xxhash64(*part, "salt")
-    every = durable(dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*part, block.alias("block")), "crowd-blocks")
-    x, y = every.withColumnRenamed("block", "x"), every.toDF(*at, "big_y", "owner_y", "y")
-    pairs = x.join(y, at).filter("x <= y AND (x = y OR NOT (big AND big_y AND owner = owner_y))").filter("x < y OR NOT big").select("x", "y")
-    first = pairs.select(F.col("x").alias("block"), "x", "y", F.lit(0).alias("side"))
-    second = pairs.filter("x < y").select(F.col("y").alias("block"), "x", "y", F.lit(1).alias("side"))
-    salt = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    placed = member.join(mixed.select(*part, "component"), [*at, "component"]).join(dealt, part)
-    placed = placed.withColumn("salt", salt).select("sig", "component", block.alias("block"))
-    tasks = placed.join(first.union(second), "block").join(sets, "sig").select("x", "y", "side", "component", "shingles")
-    return tasks.groupBy("x", "y").applyInPandas(_between(similarity), "a long, b long")
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``key, text_hash, component`` of each row: texts that links of ``similarity`` or more connect share a component.
-
-    Similarity is that of the sets of ``words``-word shingles (Jaccard). Candidates meet by the Golay
-    keys of their fingerprints and, since texts of 0.8 differ in too many bits for these, by bands of
-    least hashes. Texts of one set are one node. A band that few share gives all its pairs, of a
-    bounded number for each text. One that many share gives each text with two of its members, so no
-    band pairs all of a crowd at first: its centre, which shares the most bands with the most others, as the
-    original of many copies does, and one drawn by a hash, another in each band. What this leaves in
-    different components of a crowd is then compared in full, see ``across``. Every pair is verified
-    on the whole sets, which are made again for texts with a candidate only. Texts without words are one
-    node.
-    """
-    text = F.col(text_col).cast("string")
-    named = docs.select(id_key(F.col(id_col)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = durable(named.mapInPandas(_sketches(words), "key long, text_hash long, sig long, fp long, bands array<long>"), "sketches")
-    nodes = rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("key", "text_hash")).alias("at"))
-    nodes = durable(nodes, "sketch-nodes")
-    keyed = nodes.select("sig", F.posexplode("bands").alias("band", "k"))
-    shared = keyed.groupBy("band", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    held = durable(keyed.join(shared, ["band", "k"]), "sketch-held")
-    few = held.filter(F.col("n") <= CROWD).groupBy("band", "k").agg(F.array_sort(F.collect_list("sig")).alias("s"))
-    few = few.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    crowd = held.filter(F.col("n") > CROWD).join(held.groupBy("sig").agg(F.sum("n").alias("company")), "sig")
-    two = F.array(F.max_by("sig", F.struct("company", "sig")), F.min_by("sig", F.xxhash64("sig", "band")))
-    leaders = durable(crowd.groupBy("band", "k").agg(two.alias("leaders")), "leaders")  # so that the join may split a crowd
-    many = crowd.join(leaders, ["band", "k"]).select("sig", F.explode("leaders").alias("to")).filter("sig <> to")
-    many = many.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b"))
-    heads = nodes.groupBy("fp").agg(F.min("sig").alias("head"))
-    same = nodes.join(heads, "fp").filter("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
-    near = links(heads).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = durable(few.union(many).union(same).union(near).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = nodes.join(asked, "sig").select("sig", "at.*")
-    texts = named.join(wanted, ["key", "text_hash"]).dropDuplicates(["sig"]).select("sig", "text")
-    sets = durable(texts.mapInPandas(_sets(words), "sig long, shingles binary"), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    parts = connected_components(both.mapInPandas(_alike(similarity), "a long, b long"))
-    parts = durable(parts.withColumnRenamed("node", "sig"), "similar-parts")
-    joins = across(crowd, parts, sets, similarity)
-    if joins is not None:
-        whole = connected_components(joins).toDF("component", "whole")
-        texts = parts.join(crowd.select("sig").distinct(), "sig", "full").withColumn("component", F.coalesce("component", "sig"))
-        parts = texts.join(whole, "component", "left").select("sig", F.coalesce("whole", "component").alias("component"))
-    return rows.select("key", "text_hash", "sig").join(parts, "sig", "left").select("key", "text_hash", F.coalesce("component", "sig").alias("component"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of ``similar`` texts, that of the least id; columns as they are.
-
-    Null texts are as empty ones, and texts without words a group. Of several rows with the least id
-    one stays, by a hash of its text, then of all its columns. An empty table gives none.
-    """
-    least = F.min(F.struct("key", "text_hash")).alias("least")
-    kept = similar(docs, id_col, text_col, words, similarity).groupBy("component").agg(least).select("least.*")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.select(
-        id_key(F.col(id_col)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-        F.xxhash64(row).alias("order"), row.alias("row"),
-    )
-    return named.join(kept, ["key", "text_hash"]).groupBy("key", "text_hash").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return spread_join(rows, found, ["fp"])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
