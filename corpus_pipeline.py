@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylib.llm.common import durable, table, word_count
 from quarrylib.llm.decontamination import drop_contaminated
 from quarrylib.llm.mixing import mixed_copies
-from quarrylib.llm.simhash import drop_near_duplicates
+from quarrylib.llm.similar import drop_near_duplicates
 from quarrylib.llm.token_files import read_token_files, vocabulary, write_token_files
 from quarrylib.llm.toxicity import drop_toxic
 
