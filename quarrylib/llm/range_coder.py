@@ -2,19 +2,22 @@
 
 A block's ids lie in lanes, runs of equal length that are coded side by side, each by a range coder of
 its own, under one model. The model starts anew in each block and learns from each step's ids
-in all lanes, first in the coder, then alike in the decoder. For each id it mixes three predictions:
+in all lanes, first in the coder, then alike in the decoder. The probability of an id is the weighted sum
+of what three predictions give it:
 
-- order 2: the id that last followed the two ids before it, by a hashed table;
-- order 1: the id that last followed the id before it;
-- order 0: the frequencies of the ids so far, each at least once in ``1 << BITS0``.
+- order 2: all on the id that last followed the two ids before it, by a hashed table;
+- order 1: all on the id that last followed the id before it;
+- order 0: the frequencies of the ids so far, at least one part of ``1 << bits0`` for each.
 
 Both tables keep a confidence, raised by hits and lowered by misses. For each pair of confidences,
-and whether the two agree, the share of hits so far gives the weights of the mixture. An id is coded in
-the part of the first prediction that names it, else in its order-0 part, with the rest of the weight.
-
-Layout of a block, little-endian: magic ``TKB1``, uint32 ids, lanes, largest id + 1, table bits, CRC-32 of
-the ids as uint32, then for each lane the number of its 32-bit words, then the words, lane by lane,
-then the CRC-32 of all before. Nothing outside a block is needed to read it.
+and whether the two agree, the share of hits so far gives the weights of the mixture; order 0 always keeps some.
+An id's range begins where the ranges of all smaller ids end, in the sum of the three.
+
+Layout of a block, little-endian: magic ``TKB2``; uint32 ids, lanes, symbols, table bits, bytes of the
+alphabet, CRC-32 of the ids as uint32; uint64 bytes of the attachment; the alphabet, by zlib, where the symbols
+are numbers in a sorted list of the block's ids rather than ids; the attachment; for each lane the
+number of its 32-bit words; the words, lane by lane; the CRC-32 of all before. Nothing outside a
+block is needed to read it.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TKB1"
+MAGIC, HEAD = b"TKB2", struct.Struct("<4s6IQ")
 #: Lanes of a block, and the steps a lane should have at least.
 LANES, STEPS = 16384, 192
-#: Resolution of the mixture and of order 0; ids must be below 1 << MAX_BITS.
-BITS, BITS0, MAX_BITS = 12, 20, 17
-#: Least weight that order 0 has of 1 << BITS.
-FLOOR = 96
+#: Resolution of the whole mixture, and of order 0 at least; weights take what is left.
+BITS, BITS0 = 32, 20
+#: Ids from here on are coded as numbers in the list of a block's ids.
+DIRECT = 1 << 18
+#: Least share of the weight that order 0 has.
+FLOOR = 96 / 4096
 TOP = 7  # highest confidence, three bits
 #: Steps after which order 0 and the weights are counted anew: early ones, then every so many.
 EARLY, EVERY0, EVERY = (1, 2, 4, 8, 16, 32), 64, 8
@@ -44,6 +49,8 @@ class Corrupt(ValueError):
 class Model:
     def __init__(self, symbols: int, bits: int):
         self.bits, self.symbols = bits, symbols
+        self.bits0 = max(BITS0, symbols.bit_length() + 2)
+        self.whole = 1 << (BITS - self.bits0)  # of the weights
         self.order1, self.order2 = np.zeros(symbols, np.int32), np.zeros(1 << bits, np.int32)  # id << 3 | confidence
         self.counts = np.zeros(symbols, np.int64)
         states = 2 * (TOP + 1) ** 2
@@ -87,26 +94,29 @@ class Model:
             self.hits2 += both[:, 2] + both[:, 3]
             self.hits1 += both[:, 1]
             self.states.clear()
-        whole = (1 << BITS) - FLOOR
-        w2 = (self.hits2 * 2 + 1) * whole // (self.seen * 2 + 6) + 1
-        w1 = np.minimum((self.hits1 * 2 + 1) * whole // (self.seen * 2 + 6) + 1, whole - w2)
-        w1[1::2] = 0  # both name the same id
-        self.w2, self.w21 = w2.astype(np.uint64), (w2 + w1).astype(np.uint64)
+        whole = self.whole - max(1, int(self.whole * FLOOR))
+        w2 = (self.hits2 * 2 + 1) * whole // (self.seen * 2 + 6)
+        w1 = np.minimum((self.hits1 * 2 + 1) * whole // (self.seen * 2 + 6), whole - w2)
+        w1[1::2] = 0  # both name the same id, which has the weight of both
+        self.w0 = (self.whole - w1 - w2).astype(np.uint64)
+        self.w1, self.w2 = ((w << self.bits0).astype(np.uint64) for w in (w1, w2))
 
     def count(self) -> None:
         if self.ids:
             self.counts += np.bincount(np.concatenate(self.ids), minlength=self.symbols)
             self.ids.clear()
-        free = (1 << BITS0) - self.symbols
+        free = (1 << self.bits0) - self.symbols
         freq = 1 + self.counts * free // max(1, int(self.counts.sum()))
         self.table = None
         self.freq, self.cum = freq.astype(np.uint64), np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
 
     def symbol(self, at: np.ndarray) -> np.ndarray:
         """The ids whose order-0 parts hold some places."""
+        if self.bits0 > BITS0:
+            return np.searchsorted(self.cum, at, "right").astype(np.int32) - 1
         if self.table is None:
             self.table = np.repeat(np.arange(self.symbols, dtype=np.int32), self.freq.astype(np.int64))
-        return self.table[np.minimum(at, np.uint64(len(self.table) - 1)).astype(np.intp)]
+        return self.table[at.astype(np.intp)]
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -115,15 +125,19 @@ def _shape(n: int) -> tuple[int, int]:
     return max(1, -(-n // steps)), steps
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A block of ids from 0 below 1 << MAX_BITS."""
+def encode(ids: np.ndarray, attached: bytes = b"") -> bytes:
+    """A block of ids, each a uint32, and of what is attached to them."""
     ids = np.asarray(ids, np.int64)
+    if ids.min(initial=0) < 0 or ids.max(initial=0) >> 32:
+        raise ValueError("ids must be from 0 below 1 << 32")
+    check, alphabet = zlib.crc32(ids.astype("<u4").tobytes()), b""
     n, symbols = len(ids), int(ids.max(initial=0)) + 1
-    if symbols > 1 << MAX_BITS or ids.min(initial=0) < 0:
-        raise ValueError(f"ids must be from 0 below {1 << MAX_BITS}")
+    if symbols > DIRECT:
+        different, ids = np.unique(ids, return_inverse=True)
+        symbols, alphabet = len(different), zlib.compress(np.diff(different, prepend=0).astype("<u4").tobytes())
     bits = max(8, min(20, n.bit_length() + 1))
     lanes, steps = _shape(n)
-    head = MAGIC + struct.pack("<5I", n, lanes, symbols, bits, zlib.crc32(ids.astype("<u4").tobytes()))
+    head = HEAD.pack(MAGIC, n, lanes, symbols, bits, len(alphabet), check, len(attached)) + alphabet + attached
     at = np.zeros(lanes * steps, np.int32)
     at[:n] = ids
     x = np.ascontiguousarray(at.reshape(lanes, steps).T)
@@ -136,16 +150,9 @@ def encode(ids: np.ndarray) -> bytes:
         slot = model.slots(one, two_back)
         entry2, entry1, two, first, state = model.predict(one, slot)
         hit2, hit1 = two == now, first == now
-        unit, w2, w21 = span >> np.uint64(BITS), model.w2[state], model.w21[state]
-        in1 = hit1 & ~hit2
-        begin = np.where(hit2, np.uint64(0), np.where(in1, w2, w21))
-        begun = unit * begin
-        low += begun
-        span = np.where(hit2, unit * w2, np.where(in1, unit * (w21 - w2), span - begun))
-        rest = np.flatnonzero(~(hit2 | hit1))
-        s, unit0 = now[rest], span[rest] >> np.uint64(BITS0)
-        low[rest] += unit0 * model.cum[s]
-        span[rest] = unit0 * model.freq[s]
+        unit, w0, w1, w2 = span >> WORD, model.w0[state], model.w1[state], model.w2[state]
+        low += unit * (w0 * model.cum[now] + w1 * (first < now) + w2 * (two < now))
+        span = unit * (w0 * model.freq[now] + w1 * hit1 + w2 * hit2)
         short = np.flatnonzero(span <= LOW32)
         if len(short):
             lo, sp = low[short], span[short]
@@ -163,13 +170,15 @@ def encode(ids: np.ndarray) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode(block: bytes) -> np.ndarray:
-    """The ids of a block; Corrupt if a checksum doesn't hold."""
-    if len(block) < 28 or block[:4] != MAGIC or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
+def decode(block: bytes) -> tuple[np.ndarray, bytes]:
+    """The ids of a block and what is attached to them; Corrupt if a checksum doesn't hold."""
+    if len(block) < HEAD.size + 4 or block[:4] != MAGIC or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise Corrupt("not a whole block")
-    n, lanes, symbols, bits, check = struct.unpack("<5I", block[4:24])
-    per_lane = np.frombuffer(block, "<u4", lanes, 24).astype(np.int64)
-    words = np.frombuffer(block, "<u4", int(per_lane.sum()), 24 + 4 * lanes).astype(np.uint64)
+    _, n, lanes, symbols, bits, listed, check, more = HEAD.unpack_from(block)
+    begin = HEAD.size + listed
+    alphabet, attached, begin = block[HEAD.size : begin], block[begin : begin + more], begin + more
+    per_lane = np.frombuffer(block, "<u4", lanes, begin).astype(np.int64)
+    words = np.frombuffer(block, "<u4", int(per_lane.sum()), begin + 4 * lanes).astype(np.uint64)
     steps = -(-n // lanes) if n else 1
     out = np.zeros((steps, lanes), np.int32)
     model = Model(symbols, bits)
@@ -181,20 +190,21 @@ def decode(block: bytes) -> np.ndarray:
     for k in range(steps):
         slot = model.slots(one, two_back)
         entry2, entry1, two, first, state = model.predict(one, slot)
-        unit, w2, w21 = span >> np.uint64(BITS), model.w2[state], model.w21[state]
-        off, end2, end21 = code - low, unit * w2, unit * w21
-        hit2 = off < end2
-        in1 = ~hit2 & (off < end21)
+        unit, w0, w1, w2 = span >> WORD, model.w0[state], model.w1[state], model.w2[state]
+        at = (code - low) // unit
+        begin2, size2 = w0 * model.cum[two] + w1 * (first < two), w0 * model.freq[two] + w2
+        begin1, size1 = w0 * model.cum[first] + w2 * (two < first), w0 * model.freq[first] + w1
+        hit2 = at - begin2 < size2  # a smaller place wraps round to a great one
+        in1 = ~hit2 & (at - begin1 < size1)
         now = np.where(hit2, two, first)
-        begun = np.where(hit2, np.uint64(0), np.where(in1, end2, end21))
-        low += begun
-        span = np.where(hit2, end2, np.where(in1, end21 - end2, span - begun))
+        begin, size = np.where(hit2, begin2, begin1), np.where(hit2, size2, size1)
         rest = np.flatnonzero(~(hit2 | in1))
-        unit0 = span[rest] >> np.uint64(BITS0)
-        s = model.symbol((code[rest] - low[rest]) // unit0)
+        past = (at[rest] >= begin1[rest]) * w1[rest] + (at[rest] >= begin2[rest]) * w2[rest]
+        s, own = model.symbol((at[rest] - past) // w0[rest]), w0[rest]
         now[rest] = s
-        low[rest] += unit0 * model.cum[s]
-        span[rest] = unit0 * model.freq[s]
+        begin[rest], size[rest] = past + own * model.cum[s], own * model.freq[s]
+        low += unit * begin
+        span = unit * size
         short = np.flatnonzero(span <= LOW32)
         if len(short):
             lo, sp = low[short], span[short]
@@ -206,6 +216,9 @@ def decode(block: bytes) -> np.ndarray:
         model.learn(now, one, slot, entry2, entry1, state, hit2, first == now)
         two_back, one = one, now
     ids = out.T.ravel()[:n]
-    if zlib.crc32(ids.astype("<u4").tobytes()) != check:
+    if listed:
+        ids = np.cumsum(np.frombuffer(zlib.decompress(alphabet), "<u4").astype(np.int64))[ids]
+    ids = ids.astype("<u4")
+    if zlib.crc32(ids.tobytes()) != check:
         raise Corrupt("the ids don't match their checksum")
-    return ids.astype(np.uint32)
+    return ids, attached

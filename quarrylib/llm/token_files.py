@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -54,14 +55,37 @@ class Words(dict):
         return number
 
 
+#: What a tokenizer's file says of texts if cutting them leaves all ids as they are. Fixed values.
+SAFE_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_safely(library) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and cuts words just as ``Encoder`` relies on."""
+    made = json.loads(library.to_str())
+    steps = {
+        "normalizer": (made.get("normalizer") or {}).get("normalizers"),
+        "pre_tokenizer": (made.get("pre_tokenizer") or {}).get("pretokenizers"),
+    }
+    added = made.get("added_tokens") or []
+    plain = all(t["content"].startswith("<|") and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
+    return steps == SAFE_STEPS and plain and made["model"]["type"] == "BPE" and not made.get("post_processor") and not made.get("truncation")
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, asked once for each different word.
 
-    ``word_split`` is for a tokenizer that drops white space, lower-cases and cuts words before it
+    That is for a tokenizer that drops white space, lower-cases and cuts words before it
     merges, as the ``word_bpe`` vocabulary does: then texts may be cut at ASCII white space and before
     punctuation that ends a word after an ASCII letter or digit, and A-Z be lower-cased, without a
     change of ids. Texts that may hold a special token, or a mark that might compose with a letter, keep
-    their case. Without ``word_split`` every text goes to the library whole.
+    their case. ``cuts_safely`` reads from the tokenizer whether this holds; of any other tokenizer, or with
+    ``word_split`` false, every text goes to the library whole.
     """
 
     def __init__(self, path: str, word_split: bool = True):
@@ -69,7 +93,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.word_split = word_split
+        word_split = self.word_split = word_split and cuts_safely(self.library)
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self.mark = next(((t, i) for t, i in special.items() if word_split and t.startswith("<")), None)
         self.forget()
@@ -143,16 +167,15 @@ def _encoder(path: str, word_split: bool) -> Encoder:
     return encoders[path, word_split]
 
 
-BLOCKS = "block long, keys binary, sizes binary, n_ids long, data binary"
+BLOCKS = "block long, n_ids long, data binary"
 
 
 def _write(path: str, end_id: int, word_split: bool):
     def block(number: int, keys: list, sizes: list, ids: list) -> pa.RecordBatch:
-        sizes = np.concatenate(sizes)
         joined = np.concatenate(ids)
-        values = [number, np.concatenate(keys).astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), len(joined), range_coder.encode(joined)]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "sizes", "n_ids", "data"])
+        documents = np.concatenate([np.concatenate(keys), np.concatenate(sizes)]).astype("<i8").tobytes()
+        columns = [pa.array([number]), pa.array([len(joined)]), pa.array([range_coder.encode(joined, documents)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "n_ids", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, word_split)
@@ -179,15 +202,21 @@ def _write(path: str, end_id: int, word_split: bool):
     return releasing(run, "encoders")
 
 
+def _documents(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a block, and its documents' keys and numbers of ids."""
+    ids, documents = range_coder.decode(data)
+    key, sizes = np.frombuffer(documents, "<i8").reshape(2, -1)
+    if int(sizes.sum()) != len(ids):
+        raise range_coder.Corrupt("the documents' sizes don't add up to the block")
+    return ids, key, sizes
+
+
 @functools.partial(releasing, name="encoders")
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "block", "key", "first", "n_tokens", "ids_crc32"]
     for b in batches:
         for row in b.to_pylist():
-            ids = range_coder.decode(row["data"]).astype("<u4")
-            key, sizes = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["sizes"], "<i8")
-            if int(sizes.sum()) != len(ids):
-                raise range_coder.Corrupt("the documents' sizes don't add up to the block")
+            ids, key, sizes = _documents(row["data"])
             ends = np.cumsum(sizes)
             view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
@@ -199,18 +228,20 @@ def write_token_files(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
     word_split: bool = True, partitions: int | None = None,
 ) -> DataFrame:
-    """The blocks of a table of texts, written in the shared folder: ``part, block, keys, sizes, n_ids, data``.
-
-    Rows go by ascending id, a null id first, rows of one id by their text's hash. ``data`` is a block
-    of ``range_coder``, ``keys`` and ``sizes`` the ids of its documents and their numbers of tokens, each with
-    ``end_id`` after it. A null or empty text has the end alone. Blocks are Parquet rows, so that Spark
-    commits each task's files once, on any store, however often executors are lost. ``part`` numbers the
-    sorted partitions; a part's blocks, then the parts, in order are the corpus.
+    """The blocks of a table of texts, written in the shared folder: ``part, block, n_ids, data``.
+
+    Rows go by ascending id, a null id first, rows of one id by their text's hash, also across partitions,
+    so that none holds all rows of an id. ``data`` is a block of ``range_coder``; attached to it, under its
+    checksum, are the ids of its documents and their numbers of tokens, each with ``end_id`` after it. A
+    null or empty text has the end alone; equal rows are written each; an empty table gives no block;
+    columns other than id and text, whatever their names, are left out. Blocks are Parquet rows, so
+    that Spark commits each task's files once, on any store, however often executors are lost. ``part``
+    numbers the sorted partitions; a part's blocks, then the parts, in order are the corpus.
     """
     rows = docs.select(id_key(F.col(id_col)).alias("key"), text_or_empty(F.col(text_col)).alias("text"))
     n = partitions or _partitions(docs)
     ties = F.xxhash64("text")
-    sorted_rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", ties).withColumn("text", F.col("text").cast("binary"))
+    sorted_rows = rows.repartitionByRange(n, F.col("key"), ties).sortWithinPartitions("key", ties).withColumn("text", F.col("text").cast("binary"))
     return durable(
         sorted_rows.mapInArrow(_write(path, end_id, word_split), BLOCKS).withColumn("part", F.spark_partition_id().cast("long")),
         "token-blocks",
@@ -225,7 +256,10 @@ def _partitions(docs: DataFrame) -> int:
 
 
 def read_token_files(blocks: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` from blocks: places in the corpus, checked and decoded."""
+    """``doc_id, start, n_tokens, ids_crc32`` from blocks: places in the corpus, checked and decoded.
+
+    A row for each document, null ids and repeated rows included; without blocks none. A damaged block raises.
+    """
     by_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     whole = by_part.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
     inside = Window.partitionBy("part").orderBy("block")
@@ -235,7 +269,7 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
         .join(whole, "part")
         .select("part", "block", (F.col("before") + F.col("inside")).alias("at"))
     )
-    docs = blocks.select("part", "block", "keys", "sizes", "data").mapInArrow(
+    docs = blocks.select("part", "block", "data").mapInArrow(
         _read, "part long, block long, key long, first long, n_tokens long, ids_crc32 long"
     )
     return docs.join(places, ["part", "block"]).select(
@@ -245,17 +279,17 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
 
 
 def token_ids(blocks: DataFrame) -> DataFrame:
-    """``doc_id, ids`` of all documents in blocks."""
+    """``doc_id, ids`` of all documents in blocks, a row for each, the end id last. A damaged block raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids = range_coder.decode(row["data"]).astype(np.int64)
-                key, ends = np.frombuffer(row["keys"], "<i8"), np.cumsum(np.frombuffer(row["sizes"], "<i8"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
+                ids, key, sizes = _documents(row["data"])
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(key), lists], ["key", "ids"])
 
-    out = blocks.select("keys", "sizes", "data").mapInArrow(run, "key long, ids array<long>")
+    out = blocks.select("data").mapInArrow(run, "key long, ids array<long>")
     return out.select(F.nullif("key", F.lit(NULL_ID)).alias("doc_id"), "ids")
 
 

@@ -53,29 +53,66 @@ def test_ids_of_documents(spark, both):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, (1 << 17) - 1), max_size=600))
-def test_round_trip_of_any_ids(ids):
-    assert rc.decode(rc.encode(np.array(ids, np.int64))).tolist() == ids
+@given(st.lists(st.one_of(st.integers(0, (1 << 17) - 1), st.integers(0, (1 << 32) - 1)), max_size=600), st.binary(max_size=50))
+def test_round_trip_of_any_ids(ids, attached):
+    got, more = rc.decode(rc.encode(np.array(ids, np.int64), attached))
+    assert got.tolist() == ids and more == attached
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 191, 192, 193, 5000, 60_000, 900_001])
 def test_round_trip_of_many_ids(n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 49_409, n), np.zeros(n, np.int64), rng.pareto(0.5, n).astype(np.int64) % 49_409, np.arange(n) % 97):
-        assert (rc.decode(rc.encode(ids)) == ids).all()
+    for ids in (rng.integers(0, 49_409, n), rng.integers(0, 200_000, n) << 14, rng.integers(0, 260_000, n), np.zeros(n, np.int64), rng.pareto(0.5, n).astype(np.int64) % 49_409, np.arange(n) % 97):
+        assert (rc.decode(rc.encode(ids))[0] == ids).all()
 
 
 def test_predictions_save_room_and_damage_is_noticed():
     ids = np.tile(np.random.default_rng(0).integers(0, 40_000, 500), 200)
-    block = rc.encode(ids)
+    block = rc.encode(ids, b"attached")
     assert len(block) < len(ids) * 0.6
-    for at in (0, 10, len(block) // 2, len(block) - 1):
+    for at in (0, 10, block.index(b"attached"), len(block) // 2, len(block) - 1):
         with pytest.raises(rc.Corrupt):
             rc.decode(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :])
     with pytest.raises(rc.Corrupt):
         rc.decode(block[:-7])
     with pytest.raises(ValueError):
-        rc.encode(np.array([1 << 17]))
+        rc.encode(np.array([1 << 32]))
+
+
+def test_probabilities_are_the_sum_of_the_orders():
+    """Each id's part is what three predictions give it, and all parts of a lane fill at most the whole."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 6, (40, 300)).astype(np.int32)
+    m = rc.Model(6, 8)
+    one = two_back = np.zeros(300, np.int32)
+    for now in ids:
+        slot = m.slots(one, two_back)
+        entry2, entry1, two, first, state = m.predict(one, slot)
+        parts = np.array([m.w0[state] * m.freq[s] + m.w1[state] * (first == s) + m.w2[state] * (two == s) for s in range(6)])
+        begins = np.array([m.w0[state] * m.cum[s] + m.w1[state] * (first < s) + m.w2[state] * (two < s) for s in range(6)])
+        assert (parts > 0).all() and (np.cumsum(parts, 0)[:-1] == begins[1:]).all() and (parts.sum(0) <= 1 << rc.BITS).all()
+        m.learn(now, one, slot, entry2, entry1, state, two == now, first == now)
+        two_back, one = one, now
+
+
+def test_only_a_tokenizer_that_says_so_is_asked_word_by_word():
+    import public_tokenizers
+
+    assert tf.Encoder(tf.vocabulary()).word_split
+    other = tf.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not other.word_split
+    texts = ["Hello, World!  two  spaces", "", "Ab aB\n\n x"]
+    ids, sizes = other.encode([t.encode() for t in texts], END)
+    want = [[*e.ids, END] for e in other.library.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_rows_of_one_id_spread(spark):
+    docs = [(None if i % 2 else 7, f"text number {i}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    blocks = tf.write_token_files(df, tf.vocabulary(), partitions=8)
+    held = [r["count"] for r in blocks.groupBy("part").count().collect()]
+    assert len(held) == 8 and tf.read_token_files(blocks).count() == 3000
 
 
 def expected(docs):
