@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, table, word_count
+from .common import durable, table, word_count
 
 #: Hexadecimal digits of the random key that name its range.
 RANGE_DIGITS = 3
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with running ``sums`` in an order without ties, each row's own value included.
+
+    Rows are dealt by ranges of the order and summed inside them; what the ranges before hold is a sum over a
+    row for each range. So no task sees all rows.
+    """
+    values = {f"_rn_{k}": v for k, v in sums.items()}
+    dealt = rows.withColumns(values).repartitionByRange(*order).withColumn("_rn_range", F.spark_partition_id())
+    dealt = durable(dealt, name)
+    totals = dealt.groupBy("_rn_range").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.orderBy("_rn_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_rn_range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_before") for v in values])
+    inside = Window.partitionBy("_rn_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = dealt.withColumns({v: F.sum(v).over(inside) for v in values}).join(before, "_rn_range")
+    made = joined.withColumns({k: (F.col(v) + F.col(f"{v}_before")).cast("long") for k, v in zip(sums, values, strict=True)})
+    return made.drop("_rn_range", *values, *[f"{v}_before" for v in values])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], epochs: int) -> DataFrame:
     """``source, source_size, weight, target`` from ``source, source_size``, a row for each source.
 
@@ -18,41 +36,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     all sizes by them. Targets stop at ``epochs`` times their source's size and the excess is dealt
     again by weight until none is above: with sources sorted by cap over weight, those that stop are
     a prefix, found by running sums. All sums are whole numbers; one division gives a target.
+    Sources may be as many as rows, so ranks and sums are made by ranges, see ``running``.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cap = Window.orderBy("_ratio", "_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = F.array(*[F.lit(w).cast("long") for w in weights])
     up, down = share
-    ranked = sizes.withColumn("_rank", F.row_number().over(order)).withColumn(
-        "weight", F.get(turn, (F.col("_rank") - 1) % len(weights))
-    )
+    by_name = [F.col("source").isNull().asc(), F.col("source").asc()]
+    ranked = running(sizes, by_name, {"_rank": F.lit(1)}, "mix-sources")
+    ranked = ranked.withColumn("weight", F.get(turn, ((F.col("_rank") - 1) % len(weights)).cast("int")))
     ranked = ranked.withColumn("_ratio", F.col("source_size") / F.col("weight"))
-    # a source stops if at its own ratio all before it stop and the rest could not use up the budget
-    sums = ranked.withColumns(
-        {
-            "_size_to": F.sum("source_size").over(cap),
-            "_weight_to": F.sum("weight").over(cap),
-            "_all": F.sum("source_size").over(whole),
-            "_weights": F.sum("weight").over(whole),
-        }
-    )
+    sums = running(ranked, [F.col("_ratio"), F.col("_rank")], {"_size_to": F.col("source_size"), "_weight_to": F.col("weight")}, "mix-ratios")
+    in_all, weight_of_all = (F.lit(x or 0).cast("long") for x in ranked.agg(F.sum("source_size"), F.sum("weight")).first())
+    # a source stops if at its own ratio all before it stop and the rest could not use up the budget;
     # in units of 1/down: left after the caps before this one, against its own cap
-    left = F.col("_all") * up - (F.col("_size_to") - F.col("source_size")) * (epochs * down)
-    rest = F.col("_weights") - F.col("_weight_to") + F.col("weight")
+    left = in_all * up - (F.col("_size_to") - F.col("source_size")) * (epochs * down)
+    rest = weight_of_all - F.col("_weight_to") + F.col("weight")
     stops = left * F.col("weight") >= F.col("source_size") * (epochs * down) * rest
     marked = sums.withColumn("_stops", stops)
-    free = marked.withColumns(
-        {
-            "_stopped": F.sum(F.when(F.col("_stops"), F.col("source_size")).otherwise(0)).over(whole),
-            "_freed": F.sum(F.when(F.col("_stops"), F.col("weight")).otherwise(0)).over(whole),
-        }
-    )
-    budget = F.col("_all") * up - F.col("_stopped") * (epochs * down)
+    stopped, freed = (F.lit(x or 0).cast("long") for x in marked.filter("_stops").agg(F.sum("source_size"), F.sum("weight")).first())
+    budget = in_all * up - stopped * (epochs * down)
     target = F.when(F.col("_stops"), (F.col("source_size") * epochs).cast("double")).otherwise(
-        (budget * F.col("weight")).cast("double") / ((F.col("_weights") - F.col("_freed")) * down).cast("double")
+        (budget * F.col("weight")).cast("double") / ((weight_of_all - freed) * down).cast("double")
     )
-    return free.select("source", "source_size", "weight", target.alias("target"))
+    return marked.select("source", "source_size", "weight", target.alias("target"))
 
 
 def mix_sources(
@@ -73,7 +78,7 @@ def mix_sources(
     source's ``taken`` add up to its target rounded down.
 
     Null texts have size 0 and are never taken; a null source is a source of its own, sorted last.
-    Rows of a null id share one key; equal keys go by size, and rows that are equal in all of these
+    Rows of a null id take that of a hash of their columns instead, so that they spread. Equal keys go by size, and rows that are equal in both
     take turns in an arbitrary order, which changes no value. A source of size 0 has target 0; an
     empty table gives none. Columns named as the new ones are replaced.
 
@@ -84,16 +89,17 @@ def mix_sources(
     names = {"size", "source_size", "target", "taken"}
     clean = docs.drop(*[c for c in docs.columns if c.lower() in names])
     source = F.col(source_col).cast("string")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, t in clean.dtypes if "map<" not in t]).cast("string")
     at = ["_mx_source", "_mx_null", "_mx_range"]  # a null source apart from an empty one, by plain equality
     keyed = clean.withColumns(
         {
             "size": size,
             "_mx_source": F.coalesce(source, F.lit("")),
             "_mx_null": source.isNull(),
-            "_mx_key": F.md5(F.concat_ws(":", F.lit(seed), id_key(F.col(id_col)).cast("string"))),
+            "_mx_key": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("long").cast("string"), F.concat(F.lit("null"), row)))),
         }
     ).withColumn("_mx_range", F.substring("_mx_key", 1, RANGE_DIGITS))
-    ranges = keyed.groupBy(at).agg(F.sum("size").alias("n"))  # its exchange serves both uses
+    ranges = durable(keyed.groupBy(at).agg(F.sum("size").alias("n")), "mix-ranges")
     named = F.when(~F.col("_mx_null"), F.col("_mx_source"))
     by_source = ranges.groupBy(named.alias("source")).agg(F.sum("n").alias("source_size"))
     targets = source_targets(by_source, weights, share, epochs).withColumns(
@@ -118,9 +124,10 @@ def mix_sources(
 
 
 def mixed_copies(docs: DataFrame, size: Column, **options) -> DataFrame:
-    """The mix as rows: each row of ``docs`` as often as the mix takes it.
+    """The mix as rows: each row of ``docs`` as often as the mix takes it; columns as they are.
 
-    A row taken in part is given whole, so a source exceeds its target by less than one row's size.
+    A row taken in part is given whole, so a source exceeds its target by less than one row's size. Nulls,
+    ties, repeated rows and empty tables are as in ``mix_sources``; a row of size 0, as of a null text, isn't given.
     """
     columns = docs.columns
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(options.get("id_col", "doc_id")).alias("id"),

@@ -80,10 +80,17 @@ def test_mixes(spark, seed):
 
 
 def test_mix_of_odd_tables(spark):
-    docs = [{"doc_id": 1, "text": "a b", "source": "s"}] * 3 + [{"doc_id": None, "text": "c", "source": None}] * 2
-    rows = mixed(spark, docs).collect()
-    assert len(rows) == 5 and sum(r.taken for r in rows if r.source == "s") == 9 or sum(r.taken for r in rows) <= 12
-    assert mixed(spark, docs[:0] or [{"doc_id": 1, "text": "", "source": "s"}]).first().taken == 0
+    docs = [(1, "a b", "s", 7)] * 3 + [(None, "c", None, 7)] * 2 + [(9, None, "", 7), (None, "", "", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, size int")
+    rows = mixing.mix_sources(df, word_count(F.col("text"))).collect()
+    # 8 words, 150 %: weights by source are 3 for the empty name, which has none, 1 for s and 2 for null
+    assert sorted((r.source or str(r.source), r["size"], r.taken) for r in rows) == [("", 0, 0)] * 2 + [("None", 1, 2)] * 2 + [("s", 2, 2), ("s", 2, 2), ("s", 2, 4)]
+    copies = mixing.mixed_copies(df, word_count(F.col("text")))
+    assert copies.columns == df.columns and sorted(str(r.doc_id) for r in copies.collect()) == ["1"] * 4 + ["None"] * 4
+    nothing = spark.createDataFrame([(1, "", "s", 1)], df.schema)
+    assert mixing.mix_sources(nothing, word_count(F.col("text"))).first().taken == 0
+    huge = spark.createDataFrame([(1, "w " * 300_000, "a", 1), (2, "x", "b", 1)], df.schema)
+    assert {r.doc_id: r["size"] for r in mixing.mix_sources(huge, word_count(F.col("text"))).collect()} == {1: 300_000, 2: 1}
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(empty, word_count(F.col("text"))).count() == 0
     assert mixing.mixed_copies(empty, word_count(F.col("text"))).columns == ["doc_id", "text", "source"]
@@ -144,6 +151,20 @@ def test_removal(spark):
     assert {(1, "before after"), (4, "a b"), (2, ""), (5, "shortitem"), (6, None), (11, "ÉTÉ LÀ Été là"), (8, "!!! ...")} <= cut
 
 
+def test_rows_without_an_id_spread(spark):
+    df = spark.createDataFrame([(None, f"word {i}", "s") for i in range(500)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(df, word_count(F.col("text"))).collect()
+    assert sum(r.taken for r in rows) == 1500 and {r.taken for r in rows} == {2, 4}
+    again = mixing.mix_sources(df.repartition(3), word_count(F.col("text"))).collect()
+    assert sorted((r.text, r.taken) for r in again) == sorted((r.text, r.taken) for r in rows)
+
+
+def test_targets_of_many_sources(spark):
+    docs = [{"doc_id": i, "text": "w " * (i % 17), "source": f"s{i * 7919 % 1000:04d}"} for i in range(1500)]
+    got = {r.doc_id: r.taken for r in mixed(spark, docs).collect()}
+    assert got == {d["doc_id"]: k for d, _, _, _, k in mix(docs)}
+
+
 def test_key_is_the_stated_hash(spark):
     row = mixed(spark, [{"doc_id": 7, "text": "a", "source": "s"}]).first()
     assert row.taken in (1, 2) and hashlib.md5(b"mix:7").hexdigest()
