@@ -17,8 +17,6 @@ SIZES = (4, 5, 6)
 BUCKET_BITS = 20
 #: Labelled texts that are learnt from, at most; chosen by a hash of their id.
 MAX_TRAINING = 8_000
-#: Features that are kept, at most; those whose counts differ most between the classes.
-MAX_FEATURES = 10_000
 #: Chi-squared (one degree of freedom) and texts that a feature needs.
 MIN_CHI2, MIN_TEXTS = 10.83, 3
 #: A toxic text weighs the ratio of the classes to this power in the loss.
@@ -151,8 +149,8 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING, penalty: float =
     """Learns from ``id, text, label`` (0 or 1).
 
     At most about ``max_training`` rows are learnt from, those of the least hashes of their ids. Per
-    bucket the texts of each class that hold it are counted; buckets whose share differs clearly
-    between the classes are kept, and give a feature that is their log-count ratio where a text
+    bucket the texts of each class that hold it are counted; all buckets whose share differs clearly
+    between the classes (``MIN_CHI2``) are kept, and give a feature that is their log-count ratio where a text
     has the n-gram and 0 where not. A logistic regression on these, with an L2 penalty, is the model.
     With one class only, or none, every text's score is that class, or a half.
     """
@@ -177,9 +175,8 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING, penalty: float =
         .filter((F.col("zeros") + F.col("ones") >= MIN_TEXTS) & (c + d > 0))
         .withColumn("chi2", chi2)
         .filter(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "bucket")
-        .limit(MAX_FEATURES)
-        .toPandas()
+        .orderBy("bucket")
+        .toPandas()  # at most 1 << BUCKET_BITS rows
     )
     ratio = np.zeros(1 << BUCKET_BITS)
     p, q = top["ones"].to_numpy() + 1.0, top["zeros"].to_numpy() + 1.0
@@ -245,7 +242,12 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresh
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic; columns as they are."""
+    """``docs`` without the rows that are predicted toxic; columns as they are, whatever their names.
+
+    The model is learnt from the labelled rows among ``docs`` but those held out. Null and empty texts score by
+    the bias alone; repeated rows stay or go together; without labels, or without rows to drop, all stay; an
+    empty table gives none.
+    """
     model = fit(training_rows(docs, labels, ~held_out(F.col("id"))))
     boxed = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return score_toxicity(boxed, model).filter("predicted = 0").select("row.*")

@@ -49,6 +49,44 @@ def test_odd_tables(spark):
         assert all(low <= r.score <= high for r in tox.score_toxicity(docs, tox.fit(tox.training_rows(texts, labels, keep))).collect())
 
 
+def plain_buckets(text):
+    t = b" ".join((text or "").encode().translate(tox.PLAIN).split())
+    padded, out = b" " * 6 + t + b" " * 6, set()
+    for n, m in zip(tox.SIZES, tox.MULTIPLIERS):
+        out |= {(int.from_bytes(padded[i : i + n], "little") * m % 2**64) >> (64 - tox.BUCKET_BITS) for i in range(len(padded) - n + 1)}
+    return out
+
+
+def test_model_against_plain_python(spark):
+    """Counts, features, ratios and the optimum of the loss, step by step."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    ids = sorted(d for d in docs if labels.get(d) is not None and zlib.crc32(str(d).encode()) % 3 != 1)
+    sets, y = [plain_buckets(docs[d]) for d in ids], np.array([labels[d] for d in ids])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    count = [{}, {}]
+    for s, k in zip(sets, y):
+        for b in s:
+            count[k][b] = count[k].get(b, 0) + 1
+    ratio = {}
+    for b in set(count[0]) | set(count[1]):
+        one, zero = count[1].get(b, 0), count[0].get(b, 0)
+        rest1, rest0 = n1 - one, n0 - zero
+        if one + zero >= tox.MIN_TEXTS and rest1 + rest0:
+            chi2 = (n1 + n0) * (one * rest0 - zero * rest1) ** 2 / ((one + zero) * (rest1 + rest0) * n1 * n0)
+            r = math.log((one + 1) / (n1 + 2)) - math.log((zero + 1) / (n0 + 2))
+            if chi2 >= tox.MIN_CHI2 and r:
+                ratio[b] = r
+    model = tox.fit(tox.training_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), ~tox.held_out(F.col("id"))))
+    assert n1 and n0 and ratio and set(np.flatnonzero(model.weights).tolist()) <= set(ratio)
+    scores = [1 / (1 + math.exp(-(model.bias + sum(model.weights[b] for b in s)))) for s in sets]
+    assert np.allclose(model.scores([docs[d] for d in ids]), scores, atol=1e-9)
+    # the loss is convex: its slope is nil at the optimum only
+    miss = np.where(y > 0, (n0 / n1) ** tox.BALANCE * (np.array(scores) - 1), scores)
+    slope = {b: sum(m for m, s in zip(miss, sets) if b in s) * r + model.weights[b] / r for b, r in ratio.items()}
+    assert abs(miss.sum()) < 1e-2 and max(map(abs, slope.values())) < 1e-2
+
+
 # ---------------------------------------------------------------- search
 
 
