@@ -9,12 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, releasing, table
 
 #: Vectors of a block, and of a shard (the blocks that one task searches), about.
 BLOCK, SHARD = 128, 32_768
-#: Queries that one task answers, about.
-QUERIES = 1024
 #: Blocks lie along the nearest of so many centres, from about so many vectors. They steer pruning only.
 CENTRES, SAMPLE = 64, 4096
 
@@ -34,11 +32,13 @@ def _matrix(rows, dims: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers: in floating point where all sums are exact there, else as integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """a @ b.T in whole numbers, as the nearest long: in floating point where all sums are exact there, else as integers."""
+    most = np.abs(a.astype(np.float64)).max(initial=0) * np.abs(b.astype(np.float64)).max(initial=0) * a.shape[1]
     if most < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def centres(sample: np.ndarray, n: int = CENTRES, rounds: int = 5) -> np.ndarray:
@@ -85,57 +85,81 @@ def _block(rows: pd.DataFrame, number: int) -> pd.DataFrame:
     )
 
 
-def search(queries: np.ndarray, own: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
-    """``query row, vec_id, score`` of each query's best ``k`` in some blocks, all if fewer.
+def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+    """``query row, vec_id, score`` of each query's best ``k`` in some blocks of those that reach its ``floor``.
 
     A block's bound for a query is the sum over dimensions of what the block's greatest or least
     component there can give. Blocks are scored by falling bound, through their own rows, until
-    the next bound is under the query's k-th score; equal bounds may hold ties and are scored.
+    the next bound is under the query's floor, which its k-th score here raises; equal bounds may hold
+    ties and are scored.
     """
     dims = max([queries.shape[1], *(x.shape[1] for _, x in blocks)])
     pad = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1])))
     queries, data = pad(queries), [pad(x) for _, x in blocks]
-    most, least = np.array([x.max(0) for x in data]), np.array([x.min(0) for x in data])
-    bounds = products(np.maximum(queries, 0), most) + products(np.minimum(queries, 0), least)
+    ends = np.hstack([[x.max(0) for x in data], [x.min(0) for x in data]])
+    bounds = products(np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]), ends)
     out = []
     for q in range(len(queries)):
-        order = np.argsort(-bounds[q], kind="stable")
-        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        order = np.argsort(~bounds[q], kind="stable")  # ~ turns the order of longs round without overflow
+        ids, scores, least = np.empty(0, np.int64), np.empty(0, np.int64), floor[q]
         at, step = 0, 1
-        while at < len(order):
-            if len(scores) == k and bounds[q, order[at]] < scores[-1]:
-                break
+        while at < len(order) and bounds[q, order[at]] >= least:
             some = order[at : at + step]
-            if len(scores) == k:
-                some = some[bounds[q, some] >= scores[-1]]
+            some = some[bounds[q, some] >= least]
             x = data[some[0]] if len(some) == 1 else np.concatenate([data[j] for j in some])
             new_ids = np.concatenate([blocks[j][0] for j in some])
             new = products(queries[q : q + 1], x)[0]
-            keep = new_ids != own[q]
-            if len(scores) == k:
-                keep &= new >= scores[-1]
+            keep = (new_ids != own[q]) & (new >= least)
             ids, scores = np.concatenate((ids, new_ids[keep])), np.concatenate((scores, new[keep]))
-            best = np.lexsort((ids, -scores))[:k]
+            best = np.lexsort((ids, ~scores))[:k]
             ids, scores = ids[best], scores[best]
+            least = max(least, scores[-1]) if len(scores) == k else least
             at, step = at + step, min(step * 2, 64)
         out += [(q, int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
     return out
 
 
+ANSWER = "query long, query_id long, vec_id long, score long"
+
+
 def _answer(k: int):
-    def run(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        names = ["query", "query_id", "vec_id", "score"]
-        if not len(queries) or not len(blocks):
-            return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
-        own = queries["vec_id"].to_numpy(np.int64)
-        q = _matrix(queries["x"].tolist(), max(map(len, queries["x"])))
-        parts = []
-        for ids, x, dims in zip(blocks["ids"], blocks["x"], blocks["dims"], strict=True):
-            i = np.frombuffer(ids, "<i8")
-            parts.append((i, np.frombuffer(x, "<i8").reshape(len(i), int(dims))))
-        found = pd.DataFrame(search(q, own, parts, k), columns=["row", "vec_id", "score"], dtype="int64")
-        found["query"], found["query_id"] = queries["query"].to_numpy()[found["row"]], own[found["row"]]
-        return found[names]
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shard after shard, first its blocks, which stay, then the queries, a batch at a time."""
+        shard, blocks = None, []
+        for batch in batches:
+            for at, rows in batch.groupby("shard", sort=True):
+                if at != shard:
+                    shard, blocks = at, []
+                held = rows[rows["number"] >= 0]
+                for ids, x, dims in zip(held["ids"], held["data"], held["dims"], strict=True):
+                    i = np.frombuffer(ids, "<i8")
+                    blocks.append((i, np.frombuffer(x, "<i8").reshape(len(i), int(dims))))
+                asked = rows[rows["number"] < 0]
+                if not len(asked) or not blocks:
+                    continue
+                own, query = asked["vec_id"].to_numpy(np.int64), asked["query"].to_numpy(np.int64)
+                q = _matrix(asked["x"].tolist(), max(map(len, asked["x"])))
+                found = pd.DataFrame(search(q, own, asked["floor"].to_numpy(np.int64), blocks, k), columns=["row", "vec_id", "score"], dtype="int64")
+                yield pd.DataFrame({"query": query[found["row"]], "query_id": own[found["row"]], "vec_id": found["vec_id"], "score": found["score"]})
+
+    return run
+
+
+def _floors(ids: np.ndarray, x: np.ndarray, k: int):
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A score that each query's k best surely reach: the k-th among some rows of the table."""
+        for b in batches:
+            q = _matrix(b["x"].tolist(), max(map(len, b["x"])))
+            dims = max(q.shape[1], x.shape[1])
+            scores = products(*(np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (q, x)))
+            floor = np.full(len(b), -(2**63), np.int64)
+            for i, own in enumerate(b["vec_id"].to_numpy(np.int64)):
+                others = scores[i, ids != own]
+                if len(others) >= k:
+                    floor[i] = np.partition(others, len(others) - k)[len(others) - k]
+            yield b.assign(floor=floor)
 
     return run
 
@@ -147,19 +171,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     the rows that ``is_query`` holds for, candidates all rows of another id. Ties go to the smaller
     id. A shorter vector counts as filled up with zeros. Rows that repeat an id are candidates each;
     a query that repeats id and vector is asked once, one with another vector apart (its ranks then start
-    anew). An empty table, or one without queries, gives none. Scores are exact while they fit 64 bits.
+    anew). An empty table, or one without queries, gives none. Scores are exact; one beyond 64 bits counts as the
+    nearest long.
 
     The index: rows sorted by the nearest of some centres, which come from a bounded sample and only
-    steer pruning, in blocks with their rows, in shards. Every batch of queries meets every shard, so
-    a task holds one shard and one batch, each of a bounded size; a query's best of each shard
-    are ranked at the end. Batches and shards are dealt by hashes and ranges, so equal vectors spread.
+    steer pruning, in blocks with their rows, in shards. The blocks of a shard go to one task, once, and stay
+    there while the queries stream through it by batches, so a task holds one shard and one batch. A
+    query brings the k-th score that it has in the sample, under which no block is looked at; its best of each
+    shard are ranked at the end. Shards are ranges of centre and hash, so equal vectors spread.
     """
     rows = durable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "x").dropna(), "vectors")
     count = rows.count()
     share = int(min(1.0, SAMPLE / max(1, count)) * (1 << 30))
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) < share).limit(2 * SAMPLE).toPandas()["x"].tolist()
-    dims = max(map(len, sample), default=0)
-    middle = centres(_matrix(sample, dims)) if sample else np.zeros((1, 0))
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) < share).limit(2 * SAMPLE).toPandas()
+    dims = max(map(len, sample["x"]), default=0)
+    drawn = _matrix(sample["x"].tolist(), dims)
+    middle = centres(drawn) if len(sample) else np.zeros((1, 0))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,18 +202,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         .withColumn("shard", F.spark_partition_id())
     )
     blocks = durable(blocks, "blocks")
-    asked = rows.filter(is_query).distinct().withColumn("query", F.xxhash64("vec_id", "x"))
-    asked = durable(asked, "queries")
-    batches = max(1, round(asked.count() / QUERIES))
-    all_shards = blocks.select("shard").distinct()
-    asked = asked.withColumn("batch", F.pmod("query", F.lit(batches)).cast("int"))
-    # a stated set of queries against all rows, block by block: shards are as few as the index has parts
-    numbers = [r[0] for r in all_shards.collect()]
-    asked = asked.withColumn("shard", F.explode(F.array(*[F.lit(n) for n in numbers]).cast("array<int>")))
-    dealt = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    best = asked.groupBy("shard", "batch").cogroup(dealt.groupBy("shard", "batch")).applyInPandas(
-        _answer(k), "query long, query_id long, vec_id long, score long"
-    )
+    asked = rows.filter(is_query).distinct().mapInPandas(_floors(sample["vec_id"].to_numpy(np.int64), drawn, k), "vec_id long, x array<bigint>, floor long")
+    asked = durable(asked.withColumn("query", F.xxhash64("vec_id", "x")), "queries")
+    parts = blocks.agg(F.max("shard")).first()[0]
+    # a stated set of queries against all rows, block by block
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts or 0))))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    index = blocks.select("shard", "number", "dims", "ids", F.col("x").alias("data"), none("long", "vec_id"), none("array<bigint>", "x"), none("long", "floor"), none("long", "query"))
+    asked = asked.select("shard", F.lit(-1).cast("long").alias("number"), none("long", "dims"), none("binary", "ids"), none("binary", "data"), "vec_id", "x", "floor", "query")
+    tasks = index.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("number") < 0, "number", "query")
+    best = tasks.mapInPandas(_answer(k), ANSWER)
     order = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

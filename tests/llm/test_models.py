@@ -126,14 +126,27 @@ def test_products_beyond_doubles():
     assert topk.products(a, b).tolist() == [[2**61 + 15, 2**40 + 3]]
 
 
+def test_search_of_extreme_components(spark):
+    """Scores beyond 64 bits count as the nearest long, and bounds with them."""
+    big = 2**63 - 1
+    rows = [(0, [big, -big]), (100, [2**40, 2**41]), (200, [-big, 0]), (1, [big, 0]), (2, [-big - 1, 5]), (3, [2**62, 2**62]), (4, [7, -9]), (5, [0, big])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, x array<long>"), F.col("vec_id") % 100 == 0).collect())
+    want = []
+    for q, v in rows:
+        if q % 100 == 0:
+            s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, x)))), i) for i, x in rows if i != q)
+            want += [(q, r + 1, i, -p) for r, (p, i) in enumerate(s)]
+    assert got == sorted(want)
+
+
 def test_blocks_are_skipped(monkeypatch):
     rng = np.random.default_rng(0)
     blocks = [(np.arange(i * 10, i * 10 + 10), rng.integers(0, 10, (10, 4)) + 100 * (i == 3)) for i in range(50)]
     scored = []
     real = topk.products
     monkeypatch.setattr(topk, "products", lambda a, b: scored.append(len(b)) or real(a, b))
-    topk.search(np.array([[1, 1, 1, 1]]), np.array([-1]), blocks, 5)
-    assert sum(scored[2:]) == 10
+    topk.search(np.array([[1, 1, 1, 1]]), np.array([-1]), np.array([-(2**63)]), blocks, 5)
+    assert sum(scored[1:]) == 10  # after the bounds
 
 
 # ---------------------------------------------------------------- language model
