@@ -299,7 +299,7 @@ def version_conflicts(t: T.Tables) -> DataFrame:
   + "SELECT project, name, coalesce(version, CASE WHEN p_size % 2 = 0 THEN p_brand END) AS version FROM raw LEFT JOIN part ON p_partkey::VARCHAR = name")
 def cpm_versions(t: T.Tables) -> DataFrame:
     refs = t.package_refs().select("project", "name", F.nullif("version", F.lit("N")).alias("version")).distinct()
-    part = t.read("part").filter("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("version"))
+    part = t.read("part").select(F.concat(F.when(F.col("p_size") % 2 == 0, "").otherwise("no "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("version"))
     central = refs.select("project", "name").distinct().join(part, "name")
     return packages.with_central_versions(refs, central)
 
@@ -315,23 +315,23 @@ def nearest_central_versions(t: T.Tables) -> DataFrame:
     return packages.nearest_central(t.projects(), central)
 
 
-@query(with_(T.PKG, "asm AS (SELECT DISTINCT l_suppkey AS project, l_partkey::VARCHAR || ', Version=' || l_returnflag AS raw FROM lineitem WHERE l_quantity = 49)")
+@query(with_(T.PKG, "asm AS (SELECT DISTINCT l_suppkey AS project, l_partkey::VARCHAR || ', Version=' || l_returnflag AS raw FROM lineitem)")
   + "SELECT project, name, version FROM pkg UNION SELECT project, string_split(raw, ',')[1], NULL FROM asm")
 def external_refs(t: T.Tables) -> DataFrame:
     raw = F.concat(F.col("l_partkey").cast("string"), F.lit(", Version="), "l_returnflag")
-    asm = t.read("lineitem").filter("l_quantity = 49").select(F.col("l_suppkey").alias("project"), raw.alias("raw_include"))
+    asm = t.read("lineitem").select(F.col("l_suppkey").alias("project"), raw.alias("raw_include"))
     return packages.external_refs(t.package_refs(), asm)
 
 
-ASM = """asm AS (SELECT DISTINCT l_partkey AS project, (CASE WHEN l_suppkey % 2 = 0 THEN upper('p' || l_suppkey) ELSE 'p' || l_suppkey END) || ', Version=1.0' AS raw FROM lineitem WHERE l_quantity >= 48),
-sib AS (SELECT p_partkey AS project, 'P' || p_partkey AS name FROM part WHERE p_partkey < 60)"""
+ASM = """asm AS (SELECT DISTINCT l_partkey AS project, (CASE WHEN l_suppkey % 2 = 0 THEN upper('p' || l_suppkey * 37) ELSE 'p' || l_suppkey * 37 END) || ', Version=1.0' AS raw FROM lineitem),
+sib AS (SELECT p_partkey AS project, 'P' || p_partkey AS name FROM part)"""
 
 
 def _assemblies(t: T.Tables) -> tuple[DataFrame, DataFrame]:
-    name = F.concat(F.lit("p"), F.col("l_suppkey").cast("string"))
+    name = F.concat(F.lit("p"), (F.col("l_suppkey") * 37).cast("string"))  # some beyond the parts
     raw = F.concat(F.when(F.col("l_suppkey") % 2 == 0, F.upper(name)).otherwise(name), F.lit(", Version=1.0"))
-    asm = t.read("lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("project"), raw.alias("raw_include")).distinct()
-    sib = t.read("part").filter("p_partkey < 60").select(F.col("p_partkey").alias("project"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"))
+    asm = t.read("lineitem").select(F.col("l_partkey").alias("project"), raw.alias("raw_include")).distinct()
+    sib = t.read("part").select(F.col("p_partkey").alias("project"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"))
     return sib, asm
 
 
@@ -346,14 +346,13 @@ def external_assemblies(t: T.Tables) -> DataFrame:
 
 
 PACKS = """packs AS (SELECT DISTINCT user_id AS project, CASE event_id % 6 WHEN 0 THEN 'click' WHEN 1 THEN 'Serilog.AspNetCore' WHEN 2 THEN 'System.Memory' WHEN 3 THEN 'StyleCop.Analyzers'
-  WHEN 4 THEN event_type || '.K1' ELSE 'xunit' END AS name, CASE WHEN event_id % 7 = 0 THEN 'All' END AS private_assets FROM events WHERE event_id % 3 <> 1 OR value > 10)"""
+  WHEN 4 THEN event_type || '.K1' ELSE 'xunit' END AS name, CASE WHEN event_id % 7 = 0 THEN 'All' END AS private_assets FROM events)"""
 
 
 def _packs(t: T.Tables) -> DataFrame:
     m = F.col("event_id") % 6
     name = F.when(m == 0, "click").when(m == 1, "Serilog.AspNetCore").when(m == 2, "System.Memory").when(m == 3, "StyleCop.Analyzers").when(m == 4, F.concat("event_type", F.lit(".K1"))).otherwise("xunit")
-    rows = t.read("events").filter((F.col("event_id") % 3 != 1) | (F.col("value") > 10))
-    return rows.select(F.col("user_id").alias("project"), name.alias("name"), F.when(F.col("event_id") % 7 == 0, "All").alias("private_assets")).distinct()
+    return t.read("events").select(F.col("user_id").alias("project"), name.alias("name"), F.when(F.col("event_id") % 7 == 0, "All").alias("private_assets")).distinct()
 
 
 @query(with_(T.USE, PACKS) + """SELECT DISTINCT project, name FROM packs p WHERE coalesce(lower(private_assets), '') <> 'all' AND name NOT IN ('System.Memory', 'StyleCop.Analyzers')
@@ -404,7 +403,7 @@ def references_summary(t: T.Tables) -> DataFrame:
     return types.classify_references(t.referenced(), t.catalog()).groupBy("project", "class").agg(F.count("*").alias("n"))
 
 
-VIS = "vis AS (SELECT DISTINCT project, CASE WHEN length(simple) % 3 = 0 THEN '' ELSE 'N' || length(simple) % 3 || '.M' END AS ns, simple FROM catalog), shown AS (SELECT DISTINCT p_brand AS project, 'N' || p_size % 3 || '.M' || (CASE WHEN p_size % 2 = 0 THEN '.X' ELSE '' END) AS ns FROM part WHERE p_size < 8)"
+VIS = "vis AS (SELECT DISTINCT project, CASE WHEN length(simple) % 3 = 0 THEN '' ELSE 'N' || length(simple) % 3 || '.M' END AS ns, simple FROM catalog), shown AS (SELECT DISTINCT p_brand AS project, CASE WHEN p_size < 8 THEN 'N' || p_size % 3 || '.M' || (CASE WHEN p_size % 2 = 0 THEN '.X' ELSE '' END) ELSE 'Far' END AS ns FROM part)"
 
 
 @query(with_(T.CATALOG, T.REFD, VIS, """seen AS (SELECT r.project, r.simple, v.project AS target FROM refd r LEFT JOIN vis v ON v.simple = r.simple AND (v.ns = '' OR v.project = r.project
@@ -415,7 +414,7 @@ def references_visible(t: T.Tables) -> DataFrame:
     k = F.length("simple") % 3
     owners = t.catalog().withColumn("ns", F.when(k == 0, "").otherwise(F.concat(F.lit("N"), k.cast("string"), F.lit(".M"))))
     ns = F.concat(F.lit("N"), (F.col("p_size") % 3).cast("string"), F.lit(".M"), F.when(F.col("p_size") % 2 == 0, ".X").otherwise(""))
-    uses = t.read("part").filter("p_size < 8").select(F.col("p_brand").alias("project"), ns.alias("ns")).distinct()
+    uses = t.read("part").select(F.col("p_brand").alias("project"), F.when(F.col("p_size") < 8, ns).otherwise("Far").alias("ns")).distinct()
     return types.classify_references(t.referenced(), owners, uses).withColumn("targets", joined("targets"))
 
 
@@ -473,7 +472,7 @@ def kind_buckets(t: T.Tables) -> DataFrame:
 
 
 NS = """ty AS (SELECT DISTINCT p_brand AS project, 'A.B' || p_size % 4 || '.C' || p_size % 3 || '.T' || p_size AS fqn, p_type AS kind FROM part),
-ns AS (SELECT DISTINCT p_brand AS project, (['A', 'A.B1', 'A.B2.C1', 'A.B3.C2.T11', 'B'])[p_size % 5 + 1] AS ns FROM part WHERE p_size < 20),
+ns AS (SELECT DISTINCT p_brand AS project, CASE WHEN p_size < 20 THEN (['A', 'A.B1', 'A.B2.C1', 'A.B3.C2.T11', 'B'])[p_size % 5 + 1] ELSE 'C.D' || p_size END AS ns FROM part),
 loc AS (SELECT ty.project, ty.fqn, ty.kind, arg_max(ns, length(ns)) AS ns FROM ty LEFT JOIN ns ON ns.project = ty.project AND starts_with(ty.fqn, ns.ns || '.') GROUP BY ty.project, ty.fqn, ty.kind),
 spl AS (SELECT project, fqn, kind, coalesce(ns, '<global>') AS ns, CASE WHEN ns IS NULL THEN fqn ELSE substr(fqn, length(ns) + 2) END AS "local" FROM loc)"""
 
@@ -483,7 +482,7 @@ def _split(t: T.Tables) -> DataFrame:
     fqn = F.concat(F.lit("A.B"), (s % 4).cast("string"), F.lit(".C"), (s % 3).cast("string"), F.lit(".T"), s.cast("string"))
     ty = t.read("part").select(F.col("p_brand").alias("project"), fqn.alias("fqn"), F.col("p_type").alias("kind")).distinct()
     ns = F.get(F.array(*[F.lit(x) for x in ("A", "A.B1", "A.B2.C1", "A.B3.C2.T11", "B")]), s % 5)
-    return types.split_namespaces(ty, t.read("part").filter("p_size < 20").select(F.col("p_brand").alias("project"), ns.alias("ns")))
+    return types.split_namespaces(ty, t.read("part").select(F.col("p_brand").alias("project"), F.when(s < 20, ns).otherwise(F.concat(F.lit("C.D"), s.cast("string"))).alias("ns")))
 
 
 @query(with_(NS) + "SELECT * FROM spl")
@@ -498,20 +497,22 @@ def classes_grouped(t: T.Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- files
 
-FILES = """prj AS (SELECT p_partkey AS project, 'r/' || p_brand || (CASE WHEN p_size % 4 = 0 THEN '/sub' ELSE '' END) || '/p.csproj' AS path FROM part WHERE p_partkey < 40),
-fil AS (SELECT DISTINCT 'r/' || p_brand || (CASE p_size % 5 WHEN 0 THEN '/sub' WHEN 1 THEN '/sub/deep' WHEN 2 THEN '/Obj' WHEN 3 THEN '/x' ELSE '' END) || '/F' || p_partkey || '.cs' AS path FROM part),
+FILES = """prj AS (SELECT p_partkey AS project, 'r/' || p_partkey // 2 || (CASE WHEN p_size % 4 = 0 THEN '/sub' ELSE '' END) || '/p.csproj' AS path FROM part),
+fil AS (SELECT DISTINCT 'r/' || l_partkey // 2 || (CASE l_linenumber % 5 WHEN 0 THEN '/sub' WHEN 1 THEN '/sub/deep' WHEN 2 THEN '/Obj' WHEN 3 THEN '/x' ELSE '' END) || '/F' || l_suppkey || '.cs' AS path FROM lineitem),
 dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM prj),
-deep AS (SELECT f.path, arg_max(dir, length(dir)) AS dir FROM fil f JOIN dirs ON starts_with(f.path, dir || '/') WHERE NOT regexp_matches(f.path, '(?i)(^|/)(bin|obj)/') GROUP BY f.path),
+deep AS (SELECT f.path, arg_max(dir, length(dir)) AS dir FROM fil f JOIN dirs ON string_split(f.path, '/')[2] = string_split(dir, '/')[2] AND starts_with(f.path, dir || '/')
+  WHERE NOT regexp_matches(f.path, '(?i)(^|/)(bin|obj)/') GROUP BY f.path),
 own AS (SELECT prj.project, deep.path FROM deep JOIN prj ON regexp_extract(prj.path, '^(.*)/[^/]*$', 1) = deep.dir)"""
 
 
 def _owned(t: T.Tables) -> DataFrame:
-    part = t.read("part")
+    """Two parts share a folder, one of them perhaps in its subfolder; line items are files of their part's folder."""
+    folder = lambda key: F.concat(F.lit("r/"), F.floor(F.col(key) / 2).cast("string"))
     sub = F.when(F.col("p_size") % 4 == 0, "/sub").otherwise("")
-    projects = part.filter("p_partkey < 40").select(F.col("p_partkey").alias("project"), F.concat(F.lit("r/"), "p_brand", sub, F.lit("/p.csproj")).alias("path"))
-    k = F.col("p_size") % 5
+    projects = t.read("part").select(F.col("p_partkey").alias("project"), F.concat(folder("p_partkey"), sub, F.lit("/p.csproj")).alias("path"))
+    k = F.col("l_linenumber") % 5
     where = F.when(k == 0, "/sub").when(k == 1, "/sub/deep").when(k == 2, "/Obj").when(k == 3, "/x").otherwise("")
-    files = part.select(F.concat(F.lit("r/"), "p_brand", where, F.lit("/F"), F.col("p_partkey").cast("string"), F.lit(".cs")).alias("path")).distinct()
+    files = t.read("lineitem").select(F.concat(folder("l_partkey"), where, F.lit("/F"), F.col("l_suppkey").cast("string"), F.lit(".cs")).alias("path")).distinct()
     return types.own_files(files, projects)
 
 

@@ -107,7 +107,7 @@ class Tables:
             .when(n == 1, F.array(F.lit("HttpPost"), F.lit("Route('add')"))).when(n == 2, F.array(F.lit("OperationContract"), F.lit("Log")))
             .when(n == 3, F.array(F.lit("Authorize"), F.lit("HttpDelete"))).otherwise(F.array().cast("array<string>"))
         )
-        line = self.read("lineitem").filter(F.col("l_quantity") >= 40).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey").distinct()
+        line = self.read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey").distinct()
         part = self.read("part").select("p_partkey", "p_brand")
         return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("p_brand").alias("project"), F.concat(F.lit("Ns.T"), F.col("l_partkey").cast("string")).alias("fqn"),
@@ -148,7 +148,7 @@ ETYPES = """etypes AS (SELECT p_brand AS project, 'Ns.T' || p_partkey AS fqn, CA
     WHEN 'ECONOMY' THEN 'Authorize(Roles = ''x'')' WHEN 'MEDIUM' THEN 'RoutePrefix(''v' || p_size || ''')' ELSE 'Serializable' END AS attribute,
   (['ControllerBase', 'ClientBase', 'Hub', 'MarshalByRefObject', 'Thing'])[p_size % 5 + 1] AS base FROM part)"""
 EMETHODS = """emethods AS (SELECT DISTINCT p_brand AS project, 'Ns.T' || l_partkey AS fqn, 'M' || l_orderkey || '_' || l_suppkey AS name, l_linenumber::BIGINT AS line_start,
-  l_linenumber % 5 AS m, l_suppkey, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40)"""
+  l_linenumber % 5 AS m, l_suppkey, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 EKIND = """ekind AS (SELECT t.*, CASE WHEN attribute = 'ServiceContract' AND kind = 'interface' THEN 'wcf-contract' WHEN base = 'ClientBase' THEN 'wcf-client'
     WHEN attribute = 'ApiController' OR (base = 'ControllerBase' AND h.fqn IS NOT NULL) THEN 'webapi-controller'
     WHEN base = 'Hub' THEN 'signalr-hub' WHEN base = 'MarshalByRefObject' THEN 'remoting' END AS endpoint
