@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,23 +11,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AZ, NULL_ID, durable, id_key, releasing, split_words, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, releasing, split_words, spread_join, table, text_or_empty, text_runs
 
 #: Symbols: the end of a text, then the classes of rare words, then frequent words. NOTHING stands before a text.
-END, CLASSES, NOTHING = 0, 256, 0xFFFF
+END, CLASSES, NOTHING = 0, 50_000, 0xFFFF
 #: Symbols of a context at most; a context with the symbol after it fills 64 bits.
 DEPTH = 3
-#: Words of at least this share of the training tokens are symbols of their own: 1 / FREQUENT at most.
+#: Words of at least this share of the training tokens are symbols of their own, 1 / FREQUENT at most: with the classes
+#: and the end, symbols fit 16 bits.
 FREQUENT = 1e-4
-#: Share of the training tokens that a context must have: at most DEPTH / MIN_SHARE contexts do.
-MIN_SHARE = 2e-4
-#: n-grams are counted over CHUNK tokens at a time and dropped there under this share of them, so that a
-#: count is short by at most this share of all training tokens.
-SLACK = 2e-6
+#: Times that training must have a context, at any size.
+FLOOR = 2
+#: Positions that are packed at a time.
 CHUNK = 1 << 22
+#: Positions of a bucket, about.
+BUCKET = 6_000_000
+#: Scores of positions are whole numbers of 1 / UNIT, so that their sum doesn't depend on its order.
+UNIT = 1 << 20
 #: Words of at least this share of the training tokens are broadcast with their counts: 1 / HEAVY at most.
 HEAVY = 1e-5
 #: Bytes of text that are cut into words at a time.
@@ -36,18 +42,13 @@ BYTES = 6 << 20
 
 
 def class_column(word: Column) -> Column:
-    """The class of a rare word (binary), by its last two bytes."""
-    tail = F.conv(F.hex(F.substring(word, -2, 2)), 16, 10).cast("long")
-    return F.shiftright(F.pmod(tail * F.lit(2654435761), F.lit(1 << 32)), 24).cast("int")
+    """The class of a rare word (binary), by a checksum of all its bytes."""
+    return (F.crc32(word) % CLASSES).cast("int")
 
 
 def classes_of(words: pa.Array) -> np.ndarray:
     """``class_column`` of an array of words."""
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    x = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.empty(0, np.uint8)
-    last, size = ends[1:] - 1, np.diff(ends)
-    v = x[last].astype(np.uint64) + np.where(size > 1, x[np.maximum(last - 1, 0)], 0).astype(np.uint64) * np.uint64(256)
-    return (((v * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)).astype(np.int64)
+    return np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % CLASSES
 
 
 class Lexicon:
@@ -86,7 +87,7 @@ def chunks(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int
         yield a, b, text.slice(a, b - a).to_pylist()
 
 
-# ---------------------------------------------------------------- counts
+# ---------------------------------------------------------------- positions
 
 
 def grams(s: np.ndarray) -> np.ndarray:
@@ -111,47 +112,126 @@ def _reaches(s: np.ndarray, starts: np.ndarray, d: int) -> np.ndarray:
     return ok
 
 
-def count(code: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length, symbols (latest highest, rest zero) and number of each n-gram in at least ``least`` places.
+# ---------------------------------------------------------------- dealing positions
 
-    One sort serves all lengths: the n-grams of a length are runs of equal leading symbols.
+
+@dataclass
+class Dealing:
+    """Where positions go: by the symbol before, and that of a crowded symbol by the second symbol before too."""
+
+    home: np.ndarray
+    parts: np.ndarray
+    buckets: int
+
+    @classmethod
+    def of(cls, number: np.ndarray, most: int) -> Dealing:
+        """Buckets of about ``most`` places each, by the number of places of each symbol."""
+        parts = np.maximum(1, -(-number // most)).astype(np.int64)
+        alone = parts > 1
+        home = np.cumsum(np.where(alone, 0, number)) // most
+        shared = int(home.max()) + 1
+        home[alone] = shared + np.cumsum(parts[alone]) - parts[alone]
+        return cls(home, parts, shared + int(parts[alone].sum()))
+
+    def __call__(self, context: np.ndarray) -> np.ndarray:
+        before, second = (context >> np.uint64(48)).astype(np.int64), (context >> np.uint64(32)) & np.uint64(NOTHING)
+        mixed = ((second * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)
+        return self.home[before] + mixed.astype(np.int64) % self.parts[before]
+
+
+_codec = functools.cache(lambda: pa.Codec("zstd", compression_level=1))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers as compressed byte planes."""
+    out = []
+    for x in arrays:
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+        body = _codec().compress(planes, asbytes=True) if planes else b""
+        out.append(np.array([len(x), x.itemsize, len(body)], np.int64).tobytes() + body)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width, size = np.frombuffer(data, np.int64, 3, at).tolist()
+        at += 24
+        planes = _codec().decompress(data[at : at + size], n * width, asbytes=True) if size else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(f"u{width}"))
+        at += size
+    return out
+
+
+def deal(context: np.ndarray, doc: np.ndarray, learnt: np.ndarray, dealing: Dealing) -> Iterator[tuple[int, bytes]]:
+    """Bucket and packed positions of a chunk: the different codes (as differences), how often each occurs and
+    occurs in training, the documents it occurs in; and of a crowded symbol the symbols after it in all training
+    of the chunk, which every bucket of that symbol gets.
     """
-    code = np.sort(code)
-    out: list[tuple[np.ndarray, ...]] = []
-    for n in range(1, DEPTH + 2):
-        shift = np.uint64(16 * (DEPTH + 1 - n))
-        head = code >> shift
-        first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
-        number = np.diff(np.append(first, len(code)))
-        good = (number >= least) & ((head[first] & np.uint64(NOTHING)) != NOTHING)
-        out.append((np.full(int(good.sum()), n), head[first[good]] << shift, number[good]))
-        code = code[np.repeat(good, number)]  # what is rare stays rare when it gets longer
-        if not len(code):
-            break
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def counted(lexicon: Lexicon):
+    order = np.argsort(context, kind="stable")
+    context, doc = context[order], doc[order].astype(np.uint32)
+    taught = learnt[doc]
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    code, occurs = context[first], np.diff(np.append(first, len(context)))
+    trained = np.add.reduceat(taught.astype(np.int64), first)
+    after: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    before = (code >> np.uint64(48)).astype(np.int64)
+    for s in np.unique(before[dealing.parts[before] > 1]).tolist():
+        a, b = np.searchsorted(before, [s, s + 1])
+        number = np.bincount((code[a:b] & np.uint64(NOTHING)).astype(np.int64), trained[a:b], minlength=1)
+        nexts = np.flatnonzero(number)
+        after[s] = (nexts.astype(np.uint16), number[nexts].astype(np.uint32))
+    bucket = dealing(code)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1], [True])))
+    starts = first.astype(np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        rows = by[a:b]
+        times = occurs[rows]
+        places = np.repeat(starts[rows] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        s = int(before[rows[0]])
+        nexts, number = after[s] if dealing.parts[s] > 1 else (np.empty(0, np.uint16), np.empty(0, np.uint32))
+        steps = np.diff(code[rows], prepend=np.uint64(0))
+        yield int(bucket[rows[0]]), pack(steps, times.astype(np.uint32), trained[rows].astype(np.uint32), doc[places], nexts, number)
+
+
+DEALT = "bucket long, chunk long, data binary"
+
+
+def _dealt(model):
+    """Of each chunk its positions by bucket, and under a negative number its texts' hashes."""
+
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            n, value, number = count(np.concatenate(held), max(1.0, SLACK * size))
-            columns = [n.astype(np.int8), value.view(np.int64), number.astype(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "gram", "number"])
+        lexicon, dealing, _ = model.value
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, ...]] = []
+        size = docs = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, doc, learnt, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            context = (code << np.uint64(16)) | (code >> np.uint64(48))
+            yield row(-1 - chunk % dealing.buckets, pack(hashes.view(np.uint64)))
+            for bucket, data in deal(context, doc, learnt, dealing):
+                yield row(bucket, data)
+
+        def row(bucket: int, data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int64()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["bucket", "chunk", "data"]
+            )
 
         for batch in batches:
-            for _, _, texts in chunks(batch):
+            for a, b, texts in chunks(batch):
                 _, _, symbols, sizes = lexicon.read(texts)
-                held.append(grams(ended(symbols, sizes)))
-                size += len(held[-1])
+                hashes, learnt = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("text_hash", "learnt"))
+                held.append((grams(ended(symbols, sizes)), np.repeat(np.arange(docs, docs + b - a), sizes + 1), learnt, hashes))
+                size, docs = size + len(held[-1][0]), docs + b - a
                 if size >= CHUNK:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
+                    yield from out()
+                    held.clear()
+                    size, docs, chunk = 0, 0, chunk + 1
+        if held:
+            yield from out()
 
     return run
 
@@ -160,87 +240,201 @@ def counted(lexicon: Lexicon):
 
 
 @dataclass
-class Tree:
-    """Kept contexts by length (packed, latest highest), and each one's log10 distribution; state 0 is the root."""
-
-    keys: list[np.ndarray]
-    states: list[np.ndarray]
-    log10: np.ndarray
-
-    def each(self, s: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol but the first, in the state of its longest kept suffix."""
-        code = grams(s)
-        state = np.zeros(len(code), np.int64)
-        for d in range(1, DEPTH + 1):
-            keys = self.keys[d - 1]
-            if not len(keys):
-                break
-            past = (code << np.uint64(16)) >> np.uint64(16 * (DEPTH + 1 - d)) << np.uint64(16 * (DEPTH + 1 - d))
-            at = np.minimum(np.searchsorted(keys, past), len(keys) - 1)
-            state = np.where(keys[at] == past, self.states[d - 1][at], state)
-        return self.log10[state, s[1:]].astype(np.float64)
-
-
-def grow(rows: pd.DataFrame, width: int, min_share: float = MIN_SHARE) -> Tree:
-    """The tree of n-gram counts ``n, gram, number`` over ``width`` symbols.
-
-    A context is kept if it has ``min_share`` of all places and its next symbols diverge from those
-    after its longest kept proper suffix: their divergence, times its number, must exceed what its own
-    parameters cost, half the log of its number for each (the usual description-length bound).
-    Its distribution is its counts, each less a half, and what is left of its number shared as after
-    that suffix (absolute discounting). The root's rests on the uniform one.
+class Level:
+    """The kept contexts of a length, packed, with each one's share for what lies below; and the probability of
+
+    each symbol seen after one, by context and symbol packed.
     """
-    n, number = rows["n"].to_numpy(), rows["number"].to_numpy(np.int64)
-    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    log10 = []
-
-    def smooth(own: np.ndarray, total: float, below: np.ndarray) -> np.ndarray:
-        left = np.maximum(own - 0.5, 0)
-        weight = max(total - left.sum(), 0.5)
-        return (left + weight * below) / (left.sum() + weight)
-
-    one = n == 1
-    own = np.zeros(width)
-    own[(gram[one] >> np.uint64(16 * DEPTH)).astype(np.int64)] = number[one]
-    whole = own.sum()
-    dists = [smooth(own, whole, np.full(width, 1 / width))]
-    log10.append(np.log10(dists[0]))
-    keys, states = [], []
+
+    contexts: np.ndarray
+    rest: np.ndarray
+    keys: np.ndarray
+    p: np.ndarray
+
+
+def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def summed(keys: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of each one's numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, number = keys[order], number[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(number, first) if len(keys) else number
+
+
+def probabilities(levels: list[Level], root: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Of codes (contexts, latest first, then the symbol): the symbol's probability in the longest kept suffix's state."""
+    after = code & np.uint64(NOTHING)
+    p = root[after.astype(np.int64)]
+    for d, level in enumerate(levels, 1):
+        context = code >> np.uint64(16 * (DEPTH + 1 - d))
+        state, kept = find(level.contexts, context)
+        at, seen = find(level.keys, context << np.uint64(16) | after)
+        if len(level.contexts):
+            p = np.where(kept, np.where(seen, level.p[at], level.rest[state] * p), p)
+    return p
+
+
+def grow(code: np.ndarray, number: np.ndarray, root: np.ndarray, above: tuple[np.ndarray, np.ndarray] | None = None) -> list[Level]:
+    """The subtree of contexts whose last symbols are those of ``code``, by length.
+
+    ``code`` are different contexts with the symbol after (latest first, that symbol lowest), ``number`` how
+    often training has each; ``above`` gives contexts of one symbol with the symbol after, and numbers, where ``code``
+    has only some of their places. A context is kept if training has it FLOOR times, its longest proper suffix is
+    kept, and its next symbols diverge from those after that suffix: their divergence, times its number,
+    must exceed what its own parameters cost, half the log of its number for each (the usual description-length
+    bound). Its distribution is its counts, each less a half, and what that leaves shared as after the suffix
+    (absolute discounting).
+    """
+    after, levels = code & np.uint64(NOTHING), []
     for d in range(1, DEPTH + 1):
-        # a context of d symbols: its own number is that of its n-gram, its next symbols those of the n-grams one longer
-        longer = n == d + 1
-        past = (gram[longer] << np.uint64(16)) 
-        order = np.argsort(past, kind="stable")
-        past, after = past[order], (gram[longer][order] >> np.uint64(16 * DEPTH)).astype(np.int64)
-        numbers = number[longer][order]
-        first = np.flatnonzero(np.concatenate(([True], past[1:] != past[:-1]))) if len(past) else np.empty(0, np.int64)
-        ends = np.append(first[1:], len(past))[: len(first)]
-        totals = dict(zip(gram[n == d].tolist(), number[n == d].tolist(), strict=True))
-        kept, at = [], []
-        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-            context = int(past[a])
-            own = np.zeros(width)
-            own[after[a:b]] = numbers[a:b]
-            total = max(float(totals.get(context, 0)), float(own.sum()))
-            if d > 1:  # the suffix: without the oldest symbol
-                suffix = np.uint64(context) >> np.uint64(16 * (DEPTH + 2 - d)) << np.uint64(16 * (DEPTH + 2 - d))
-                i = int(np.searchsorted(keys[d - 2], suffix))
-                if i == len(keys[d - 2]) or keys[d - 2][i] != suffix:
-                    continue  # the tree holds all suffixes of a context
-                below = dists[states[d - 2][i]]
-            else:
-                below = dists[0]
-            if total < min_share * whole:
+        context = code >> np.uint64(16 * (DEPTH + 1 - d))
+        whole = (context & np.uint64(NOTHING)) != NOTHING  # not longer than the text so far
+        if d == 1 and above is not None:
+            keys, counts = above
+        else:
+            keys, counts = summed((context << np.uint64(16) | after)[whole], number[whole])
+        owner = keys >> np.uint64(16)
+        # what lies below: the same symbol after the suffix, which is the context without its oldest symbol
+        symbol = keys & np.uint64(NOTHING)
+        if d == 1:
+            below, held = root[symbol.astype(np.int64)], np.ones(len(keys), bool)
+        else:
+            suffix = owner >> np.uint64(16)
+            _, held = find(levels[-1].contexts, suffix)
+            at, _ = find(levels[-1].keys, suffix << np.uint64(16) | symbol)
+            below = levels[-1].p[at] if len(levels[-1].keys) else np.zeros(len(keys))
+        keys, counts, owner, below = keys[held], counts[held].astype(np.float64), owner[held], below[held]
+        if not len(keys):
+            levels.append(Level(keys, np.empty(0), keys, np.empty(0)))
+            continue
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        different = np.diff(np.append(first, len(keys)))
+        total = np.add.reduceat(counts, first)
+        rest = 0.5 * different / total
+        p = (counts - 0.5) / np.repeat(total, different) + np.repeat(rest, different) * below
+        unseen = np.maximum(1 - np.add.reduceat(below, first), 0)
+        divergence = np.add.reduceat(p * np.log(p / below), first) + rest * unseen * np.log(rest)
+        good = (total >= FLOOR) & (total * divergence > 0.5 * different * np.log(total))
+        each = np.repeat(good, different)
+        levels.append(Level(owner[first[good]], rest[good], keys[each], p[each]))
+    return levels
+
+
+def _grown(model):
+    """Of each bucket the subtree is grown from all chunks' training, then all chunks' positions are scored in it:
+
+    per chunk, its documents and the sums of their positions' log10 probabilities in units of 1 / UNIT.
+    """
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, dealing, root = model.value
+        crowded = np.zeros(dealing.buckets, bool)
+        for s in np.flatnonzero(dealing.parts > 1).tolist():
+            crowded[dealing.home[s] : dealing.home[s] + dealing.parts[s]] = True
+        held: list[tuple[int, bytes]] = []
+        bucket = -1
+
+        def row(chunk: int, texts: bytes | None, data: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([texts], pa.binary()), pa.array([data], pa.binary())], ["chunk", "texts", "data"]
+            )
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, number = np.empty(0, np.uint64), np.empty(0, np.int64)
+            above = np.empty(0, np.uint64), np.empty(0, np.int64)
+            some: list[tuple[np.ndarray, ...]] = []
+
+            def merge() -> None:
+                nonlocal code, number, above
+                if some:
+                    code, number = summed(np.concatenate([code, *(x[0] for x in some)]), np.concatenate([number, *(x[1] for x in some)]))
+                    above = summed(np.concatenate([above[0], *(x[2] for x in some)]), np.concatenate([above[1], *(x[3] for x in some)]))
+                    some.clear()
+
+            fresh = 0
+            for _, data in held:
+                steps, _, trained, _, nexts, count = unpack(data)
+                codes, good = np.cumsum(steps, dtype=np.uint64), trained > 0
+                first = codes[0] >> np.uint64(48) << np.uint64(16)
+                some.append((codes[good], trained[good].astype(np.int64), first | nexts.astype(np.uint64), count.astype(np.int64)))
+                fresh += int(good.sum())
+                if fresh >= CHUNK:
+                    merge()
+                    fresh = 0
+            merge()
+            levels = grow(code, number, root, above if crowded[bucket] else None)
+            for chunk, data in held:
+                steps, occurs, _, doc, *_ = unpack(data)
+                p = probabilities(levels, root, np.cumsum(steps, dtype=np.uint64))
+                units = np.rint(-np.log10(p) * UNIT).astype(np.int64)
+                docs, total = summed(doc, np.repeat(units, occurs))
+                yield row(chunk, None, pack(np.diff(docs, prepend=np.uint32(0)), total.view(np.uint64)))
+
+        for batch in batches:
+            for i, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "data")), strict=True):
+                if i < 0:
+                    yield row(chunk, data, None)
+                    continue
+                if i != bucket and held:
+                    yield from out()
+                    held = []
+                bucket = i
+                held.append((chunk, data))
+        if held:
+            yield from out()
+
+    return run
+
+
+@releasing
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk the texts' hashes with the sums over all buckets. The hashes come first."""
+    texts, total, last = np.empty(0, np.uint64), np.empty(0, np.int64), None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(texts.view(np.int64)), pa.array(total)], ["text_hash", "units"])
+
+    for batch in batches:
+        for chunk, hashes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "texts", "data")), strict=True):
+            if chunk != last:
+                if last is not None:
+                    yield out()
+                last, texts = chunk, unpack(hashes)[0]
+                total = np.zeros(len(texts), np.int64)
                 continue
-            dist = smooth(own, total, below)
-            if total * float((dist * np.log(dist / below)).sum()) > 0.5 * (b - a) * np.log(total):
-                kept.append(context)
-                at.append(len(dists))
-                dists.append(dist)
-                log10.append(np.log10(dist))
-        keys.append(np.array(kept, np.uint64))
-        states.append(np.array(at, np.int64))
-    return Tree(keys, states, np.array(log10, np.float32))
+            steps, units = unpack(data)
+            total[np.cumsum(steps, dtype=np.int64)] += units.view(np.int64)
+    if last is not None:
+        yield out()
+
+
+def tree_scores(rows: DataFrame, lexicon: Lexicon, number: np.ndarray, most: int = BUCKET) -> DataFrame:
+    """``text_hash, units``: of each different text of ``rows`` (``text, text_hash, learnt``) minus the log10 of the
+
+    tree's probability of its symbols, in units of 1 / UNIT; ``number`` is how often training has each symbol.
+    Positions travel once, packed by chunk and bucket, and the tree itself never: a task grows the part of it that its
+    positions need and scores them there. Sums are of integers, so they are the same for any partitioning.
+    """
+    spark = rows.sparkSession
+    dealing = Dealing.of(number, most)
+    whole, width = float(number.sum()), len(number)
+    left = np.maximum(number - 0.5, 0)
+    weight = max(whole - left.sum(), 0.5)
+    root = (left + weight / width) / (left.sum() + weight)
+    model = spark.sparkContext.broadcast((lexicon, dealing, root))
+    tasks = max(dealing.buckets, spark.sparkContext.defaultParallelism)
+    dealt = rows.select("text", "text_hash", "learnt").mapInArrow(_dealt(model), DEALT)
+    pieces = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_grown(model), "chunk long, texts binary, data binary")
+    chunked = pieces.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("texts").isNull())
+    return chunked.mapInArrow(_added, "text_hash long, units long").groupBy("text_hash").agg(F.max("units").alias("units"))
 
 
 # ---------------------------------------------------------------- scoring
@@ -260,7 +454,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def rare_shares(counts: DataFrame, least: float) -> pd.DataFrame:
-    """Of each class of rare words: ``class, known, new``, the log10 factors of a known word's count and of a new word.
+    """Of each class of rare words: ``class, c, known, new``, its number and the log10 factors of a known word's count and of a new word.
 
     A class's new words get the share that those seen once have of it (Good and Turing's estimate).
     """
@@ -274,10 +468,10 @@ def rare_shares(counts: DataFrame, least: float) -> pd.DataFrame:
     )
     new = (got["once"] + 0.5) / (got["c"] + 1)
     known = (1 - new) / got["c"].clip(lower=1)
-    return pd.DataFrame({"class": got.index, "known": np.log10(known), "new": np.log10(new)})
+    return pd.DataFrame({"class": got.index, "c": got["c"], "known": np.log10(known), "new": np.log10(new)})
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", most: int = BUCKET) -> DataFrame:
     """``key, learnt, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     ``learn`` (of ``id_col``) tells the rows that both models learn from; null counts as yes. Tokens are
@@ -289,11 +483,12 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     scored each by its own text; without a row to learn from the base scores 0 and symbols are
     uniform; an empty table gives none.
 
-    Counts cover all training texts. Those of n-grams are short by at most ``SLACK`` of all tokens, as
-    rare ones are dropped from each chunk. Symbols and contexts are bounded by ``1 / FREQUENT`` and
-    ``DEPTH / MIN_SHARE``, so the tree is broadcast. Word counts have no bound: the most frequent
-    words, at most ``1 / HEAVY``, are broadcast, all others meet their counts by an equi-join, where
-    none is frequent.
+    Counts cover all training texts, and any context that training has FLOOR times may be kept, so the tree
+    grows with the input. It is never in one place: positions are dealt by the symbols before them, and a task grows the
+    subtree under its own and scores them there (``most`` positions, about; a crowded symbol has several tasks, by the
+    symbol before it). Scores don't depend on how rows are partitioned, beyond the order in which doubles are added.
+    Word counts have no bound: the most frequent words, at most ``1 / HEAVY``, are broadcast, all others
+    meet their counts by an equi-join, where none is frequent.
     """
     text = text_or_empty(F.col(text_col))
     rows = docs.select(
@@ -309,52 +504,47 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     heavy = counts.filter(F.col("c") >= least).toPandas()
     lexicon = Lexicon([bytes(w) for w in heavy["word"]], heavy["c"].tolist(), own)
 
-    few = max(1, n_train // (2 * CHUNK))
-    grams_found = (
-        training.coalesce(int(few))
-        .mapInArrow(counted(lexicon), "n byte, gram long, number long")
-        .groupBy("n", "gram").agg(F.sum("number").alias("number"))
-        .filter(F.col("number") >= max(1.0, 4 * SLACK * n_train))  # at most DEPTH / (4 * SLACK) rows
-    )
-    tree = grow(grams_found.toPandas(), lexicon.symbols, min_share)
     shares = rare_shares(counts, own)
-    model = docs.sparkSession.sparkContext.broadcast((lexicon, tree, shares))
-    each = durable(rows.mapInArrow(_scored(model), SCORED), "lm-rows")
+    number = np.zeros(lexicon.symbols)
+    number[END], number[1 : 1 + CLASSES] = ends, shares["c"]
+    frequent = lexicon.symbol > 0
+    number[lexicon.symbol[frequent]] = lexicon.counts[frequent]
+    tree = tree_scores(rows, lexicon, number, most)
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast((lexicon, shares))
+    each = durable(rows.mapInArrow(_scored(model), SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
 
     # words that aren't broadcast meet their counts
-    at = ["key", "text_hash"]
-    factor = lambda column: F.get(F.array(*[F.lit(float(x)) for x in shares[column]]), class_column(F.col("word")))
-    light = counts.filter(F.col("c") < least).select(
-        "word", F.log10(F.col("c") + 0.1).alias("lc"), F.when(F.col("c") < own, F.log10("c") + factor("known")).otherwise(0.0).alias("lw")
-    )
+    factors = F.broadcast(spark.createDataFrame(shares[["class", "known", "new"]], "class int, known double, new double"))  # CLASSES rows
+    light = counts.filter(F.col("c") < least).select("word", "c")
     seldom = (
-        each.select(*at, F.explode("rare").alias("word")).join(light, "word", "left")
-        .select(*at, F.coalesce("lc", F.lit(-1.0)).alias("lc"), F.coalesce("lw", factor("new")).alias("lw"), F.when(F.col("lc").isNull(), 0).otherwise(1).alias("n"))
-        .groupBy(at).agg(F.sum("lc").alias("rare_lc"), F.sum("lw").alias("rare_lw"), F.sum("n").alias("rare_n"))
+        each.select("row", F.explode("rare").alias("word")).join(light, "word", "left")
+        .withColumn("class", class_column(F.col("word"))).join(factors, "class")
+        .select(
+            "row", F.coalesce(F.log10(F.col("c") + 0.1), F.lit(-1.0)).alias("lc"),
+            F.when(F.col("c").isNull(), F.col("new")).when(F.col("c") < own, F.log10("c") + F.col("known")).otherwise(0.0).alias("lw"),
+            F.when(F.col("c").isNull(), 0).otherwise(1).alias("n"),
+        )
+        .groupBy("row").agg(F.sum("lc").alias("rare_lc"), F.sum("lw").alias("rare_lw"), F.sum("n").alias("rare_n"))
     )
-    firsts = [F.first(c).alias(c) for c in ("learnt", "n_tokens", "tree", "lc", "lw", "n")]
-    joined = each.groupBy(at).agg(F.count("*").alias("rows"), *firsts).join(seldom, at, "left")
     scale, end = float(np.log10(n_train + 0.1 * (v + 1))), float(np.log10(ends + 0.1))
-    # rows that repeat id and text were summed together
-    rare = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("rows")
-    out = joined.select(
+    rare = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return spread_join(each.drop("rare").join(seldom, "row", "left"), tree, ["text_hash"]).select(
         "key", "learnt", "n_tokens",
         (F.col("n") + rare("rare_n") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("lc") + rare("rare_lc") + end - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("tree") + F.col("lw") + rare("rare_lw")).alias("score"),
-        F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("copy"),
+        (F.col("lw") + rare("rare_lw") - F.col("units") / UNIT).alias("score"),
     )
-    return out.drop("copy")
 
 
 SCORED = (
-    "key long, text_hash long, learnt boolean, n_tokens long, tree double, lc double, lw double, n long, rare array<binary>"
+    "key long, text_hash long, learnt boolean, n_tokens long, lc double, lw double, n long, rare array<binary>"
 )
 
 
 def _scored(model):
-    """Of each text: its tokens, the tree's score, and of its broadcast words the sums of the log10 of their
+    """Of each text: its tokens, and of its broadcast words the sums of the log10 of their
 
     base numerators (``lc``) and of their probabilities in their class (``lw``, 0 for symbols), and their
     number; the other words.
@@ -362,13 +552,13 @@ def _scored(model):
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, tree, shares = model.value
+        lexicon, shares = model.value
         lc = np.log10(lexicon.counts + 0.1)
         known = shares["known"].to_numpy()[classes_of(lexicon.words)] if len(lexicon.words) else np.empty(0)
         lw = np.where(lexicon.symbol > 0, 0.0, np.log10(lexicon.counts) + known)
         for batch in batches:
             for a, b, texts in chunks(batch):
-                words, place, symbols, sizes = lexicon.read(texts)
+                words, place, _, sizes = lexicon.read(texts)
                 ends = np.cumsum(sizes)
                 here = place >= 0
 
@@ -385,10 +575,10 @@ def _scored(model):
                 offsets = np.concatenate(([0], np.cumsum(total((~here).astype(np.int64))))).astype(np.int32)
                 columns = [
                     *(batch.column(c).slice(a, b - a) for c in ("key", "text_hash", "learnt")),
-                    pa.array(sizes + 1), pa.array(np.add.reduceat(tree.each(ended(symbols, sizes)), first)), *map(pa.array, sums),
+                    pa.array(sizes + 1), *map(pa.array, sums),
                     pa.array(total(here.astype(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), rare),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "learnt", "n_tokens", "tree", "lc", "lw", "n", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "learnt", "n_tokens", "lc", "lw", "n", "rare"])
 
     return run
 

@@ -195,65 +195,167 @@ def test_scores_of_odd_tables(spark):
     assert [(r.n_known, r.train_tokens, round(r.base_score, 9)) for r in rows] == [(0, 0, 0.0)] * 3
 
 
-def grown(rows, frequent=1.0):
-    """A tree over small counts, and the lexicon."""
-    import pyarrow as pa
+def plain_tree(docs):
+    """The definition in plain Python: the score of each (doc_id, text)."""
+    learnt = [WORD.findall((t or "").translate(AZ)) for d, t in docs if zlib.crc32(str(d).encode()) % 10 != 0]
+    counts: dict = {}
+    for words in learnt:
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+    n = sum(counts.values()) + len(learnt)
+    own = max(1.0, st.FREQUENT * n)
+    class_of = lambda w: zlib.crc32(w.encode()) % st.CLASSES
+    symbol = lambda w: w if counts.get(w, 0) >= own else class_of(w)
+    mass, once = {}, {}
+    for w, c in counts.items():
+        if c < own:
+            mass[class_of(w)] = mass.get(class_of(w), 0) + c
+            once[class_of(w)] = once.get(class_of(w), 0) + (c == 1)
+    width = 1 + st.CLASSES + sum(c >= own for c in counts.values())
+
+    def sequence(words):
+        return ["", *map(symbol, words), ""]  # an empty string ends texts and stands before them
+
+    root: dict = {}
+    after: dict = {}
+    for words in learnt:
+        s = sequence(words)
+        for i in range(1, len(s)):
+            root[s[i]] = root.get(s[i], 0) + 1
+            for k in range(1, min(st.DEPTH, i) + 1):
+                seen = after.setdefault(tuple(s[i - k : i]), {})
+                seen[s[i]] = seen.get(s[i], 0) + 1
+    whole = sum(root.values())
+
+    left = sum(c - 0.5 for c in root.values())
+    weight = max(whole - left, 0.5)
+
+    def of_root(x):
+        return (max(root.get(x, 0) - 0.5, 0) + weight / width) / (left + weight)
+
+    totals = {context: sum(seen.values()) for context, seen in after.items()}
+    kept: dict = {}
+
+    def p(context, x):
+        """After a kept context or the empty one."""
+        if not context:
+            return of_root(x)
+        total, seen = totals[context], after[context]
+        return (max(seen.get(x, 0) - 0.5, 0) + 0.5 * len(seen) * p(context[1:], x)) / total
+
+    for k in range(1, st.DEPTH + 1):
+        for context, seen in after.items():
+            total = totals[context]
+            if len(context) != k or total < st.FLOOR or (k > 1 and context[1:] not in kept):
+                continue
+            below = {x: p(context[1:], x) for x in seen}
+            rest = 0.5 * len(seen) / total
+            divergence = sum(p(context, x) * math.log(p(context, x) / below[x]) for x in seen)
+            divergence += rest * max(1 - sum(below.values()), 0) * math.log(rest)
+            if total * divergence > 0.5 * len(seen) * math.log(total):
+                kept[context] = True
+    out = []
+    for _, t in docs:
+        words = WORD.findall((t or "").translate(AZ))
+        s, score = sequence(words), 0.0
+        for i in range(1, len(s)):
+            state = next((tuple(s[i - k : i]) for k in range(min(st.DEPTH, i), 0, -1) if tuple(s[i - k : i]) in kept), ())
+            score += math.log10(p(state, s[i]))
+        for w in words:
+            if counts.get(w, 0) < own:
+                c, new = mass.get(class_of(w), 0), (once.get(class_of(w), 0) + 0.5) / (mass.get(class_of(w), 0) + 1)
+                score += math.log10(counts[w] * (1 - new) / c) if w in counts else math.log10(new)
+        out.append(score)
+    return out, kept
+
+
+@pytest.fixture(scope="module")
+def small():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    docs = list(zip(t["doc_id"], t["text"], strict=True))
+    return docs, *plain_tree(docs)
+
+
+def test_scores_are_those_of_a_plain_tree(spark, small):
+    docs, want, kept = small
+    assert {len(k) for k in kept} == {1, 2, 3}
+    got = {r.key: r.score for r in score(spark, docs)}
+    assert len(got) == len(docs)
+    for (d, _), w in zip(docs, want, strict=True):
+        assert abs(got[d] - w) <= 1e-6 * abs(w) + 1e-4
+
+
+def test_scores_are_the_same_for_any_partitioning_and_size_of_buckets(spark, small):
+    docs, *_ = small
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    want = {r.key: r.score for r in st.score_texts(df.coalesce(1), learn).collect()}
+    for parts, most in ((7, 500), (3, 5000), (13, 10**9)):  # in the first, nearly all frequent words are crowded
+        got = {r.key: r.score for r in st.score_texts(df.repartition(parts), learn, most=most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 * abs(want[d]) + 1e-9 for d in want)
+
 
+def lexicon_of(rows):
     counts: dict = {}
     for t in rows:
         for w in t.split():
             counts[w] = counts.get(w, 0) + 1
-    lexicon = st.Lexicon(list(counts), list(counts.values()), frequent)
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(rows, pa.binary())})
-    found = pa.Table.from_batches(list(st.counted(lexicon)(iter([batch])))).to_pandas()
-    return st.grow(found.groupby(["n", "gram"], as_index=False).number.sum(), lexicon.symbols, 1e-3), lexicon
+    return st.Lexicon(list(counts), list(counts.values()), 1.0)
 
 
-def symbols(lexicon, text):
-    _, _, s, sizes = lexicon.read([text])
-    return st.ended(s, sizes)
+def positions(lexicon, rows):
+    """Contexts with the symbol after, latest first, of some texts, and the root's probabilities."""
+    _, _, s, sizes = lexicon.read(rows)
+    code = st.grams(st.ended(s, sizes))
+    number = np.bincount(st.ended(s, sizes)[1:], minlength=lexicon.symbols) + 0.5
+    return (code << np.uint64(16)) | (code >> np.uint64(48)), number / number.sum()
 
 
 def test_tree_learns_contexts():
     rng = np.random.default_rng(0)
     rows = [b" ".join([b"a", b"b"][int(x)] + b" " + [b"c", b"d"][int(x)] for x in rng.integers(0, 2, 50)) for _ in range(60)]
-    tree, lexicon = grown(rows)
-    assert len(tree.keys[0]) > 0
-    log = tree.each(symbols(lexicon, b"a c b d"))
+    lexicon = lexicon_of(rows)
+    code, root = positions(lexicon, rows)
+    levels = st.grow(*st.summed(code, np.ones(len(code), np.int64)), root)
+    assert len(levels[0].contexts) > 0
+    log = np.log10(st.probabilities(levels, root, positions(lexicon, [b"a c b d"])[0]))
     assert log[1] > -0.05 and log[3] > -0.05  # c after a, d after b
-    odd = tree.each(symbols(lexicon, b"a d"))
-    assert odd[1] < -1.5
+    assert np.log10(st.probabilities(levels, root, positions(lexicon, [b"a d"])[0]))[1] < -1.5
 
 
-def test_distributions_add_up_and_states_are_the_longest_kept_suffixes():
+def test_distributions_add_up():
     rng = np.random.default_rng(1)
     rows = [" ".join(rng.choice(["x", "y", "z", "x y", "z z"], 30)).encode() for _ in range(80)]
-    tree, lexicon = grown(rows)
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(1), 1, atol=1e-4)
-    kept = {}
-    for d, (keys, states) in enumerate(zip(tree.keys, tree.states), 1):
-        for k, s in zip(keys.tolist(), states.tolist()):
-            kept[tuple(k >> 16 * (st.DEPTH - i) & 0xFFFF for i in range(d))] = s
-    s = symbols(lexicon, rows[0])
-    log = tree.each(s)
-    for i in range(1, len(s)):
-        past = s[max(0, i - st.DEPTH) : i][::-1].tolist()
-        state = max((kept[tuple(past[:d])] for d in range(1, len(past) + 1) if tuple(past[:d]) in kept), key=lambda x: x, default=0)
-        deepest = next((kept[tuple(past[:d])] for d in range(len(past), 0, -1) if tuple(past[:d]) in kept), 0)
-        assert log[i - 1] == tree.log10[deepest, s[i]] and state >= 0
-
-
-def test_counts_of_grams():
-    s = np.array([0, 5, 6, 5, 6, 0, 0, 5, 0])
-    n, gram, number = st.count(st.grams(s), 1)
-    got = {tuple(g >> 16 * (st.DEPTH - i) & 0xFFFF for i in range(k))[::-1]: c for k, g, c in zip(n.tolist(), gram.tolist(), number.tolist())}
-    want: dict = {}
-    for i in range(1, len(s)):
-        for k in range(1, st.DEPTH + 2):
-            w = tuple(s[i - k + 1 : i + 1].tolist())
-            if len(w) == k and i - k + 1 >= 0 and 0 not in w[1:-1] and (0 not in w[:-1] or w[0] == 0):
-                want[w] = want.get(w, 0) + 1
-    assert got == want
+    lexicon = lexicon_of(rows)
+    code, root = positions(lexicon, rows)
+    levels = st.grow(*st.summed(code, np.ones(len(code), np.int64)), root)
+    for past in np.unique(code >> np.uint64(16)):
+        every = past << np.uint64(16) | np.arange(lexicon.symbols, dtype=np.uint64)
+        assert abs(st.probabilities(levels, root, every).sum() - 1) < 1e-9
+
+
+def test_positions_are_packed_whole():
+    rng = np.random.default_rng(2)
+    context = rng.integers(0, 5, (4000, 4)).astype(np.uint64) @ np.array([1 << 48, 1 << 32, 1 << 16, 1], np.uint64)
+    doc, learnt = np.sort(rng.integers(0, 30, 4000)), rng.integers(0, 2, 30).astype(bool)
+    dealing = st.Dealing.of(np.array([10, 900, 3000, 40, 50]), 1000)
+    assert dealing.parts.tolist() == [1, 1, 3, 1, 1]
+    got, owners = [], {}
+    for bucket, data in st.deal(context, doc, learnt, dealing):
+        steps, occurs, trained, docs, nexts, number = st.unpack(data)
+        codes = np.cumsum(steps, dtype=np.uint64)
+        got += list(zip(np.repeat(codes, occurs).tolist(), docs.tolist(), strict=True))
+        for c, k in zip(codes.tolist(), trained.tolist(), strict=True):
+            assert owners.setdefault(c, bucket) == bucket and k == int(learnt[doc[context == c]].sum())
+        if codes[0] >> np.uint64(48) == 2:
+            mine = (context >> np.uint64(48) == 2) & learnt[doc]
+            want = np.bincount((context[mine] & np.uint64(0xFFFF)).astype(int), minlength=5)
+            assert dict(zip(nexts.tolist(), number.tolist(), strict=True)) == {i: c for i, c in enumerate(want.tolist()) if c}
+        else:
+            assert not len(nexts)
+    assert sorted(got) == sorted(zip(context.tolist(), doc.tolist(), strict=True))
 
 
 # ---------------------------------------------------------------- licences
