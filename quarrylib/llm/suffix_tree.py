@@ -128,7 +128,7 @@ class Dealing:
         """Buckets of about ``most`` places each, by the number of places of each symbol."""
         parts = np.maximum(1, -(-number // most)).astype(np.int64)
         alone = parts > 1
-        home = np.cumsum(np.where(alone, 0, number)) // most
+        home = (np.cumsum(np.where(alone, 0, number)) // most).astype(np.int64)
         shared = int(home.max()) + 1
         home[alone] = shared + np.cumsum(parts[alone]) - parts[alone]
         return cls(home, parts, shared + int(parts[alone].sum()))
