@@ -27,9 +27,9 @@ FREQUENT = 1e-4
 #: Times that training must have a context, at any size.
 FLOOR = 2
 #: Positions that are packed at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Positions of a bucket, about.
-BUCKET = 6_000_000
+BUCKET = 2_000_000
 #: Scores of positions are whole numbers of 1 / UNIT, so that their sum doesn't depend on its order.
 UNIT = 1 << 20
 #: Words of at least this share of the training tokens are broadcast with their counts: 1 / HEAVY at most.
@@ -210,6 +210,7 @@ def _dealt(model):
 
         def out() -> Iterator[pa.RecordBatch]:
             code, doc, learnt, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             context = (code << np.uint64(16)) | (code >> np.uint64(48))
             yield row(-1 - chunk % dealing.buckets, pack(hashes.view(np.uint64)))
             for bucket, data in deal(context, doc, learnt, dealing):
@@ -228,7 +229,6 @@ def _dealt(model):
                 size, docs = size + len(held[-1][0]), docs + b - a
                 if size >= CHUNK:
                     yield from out()
-                    held.clear()
                     size, docs, chunk = 0, 0, chunk + 1
         if held:
             yield from out()
