@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
@@ -78,6 +79,28 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of rows in a small batch, about; a longer row makes one of its own.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside hand rows to Python workers by bytes rather than by number.
+
+    Both sides hold a whole batch, and 10,000 rows of long texts have no bound.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 IS_SPACE = bytes(chr(c) in SPACES for c in range(256))
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AZ, NULL_ID, durable, id_key, releasing, split_words, spread_join, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, releasing, small_batches, split_words, spread_join, table, text_or_empty, text_runs
 
 #: Symbols: the end of a text, then the classes of rare words, then frequent words. NOTHING stands before a text.
 END, CLASSES, NOTHING = 0, 50_000, 0xFFFF
@@ -35,7 +35,9 @@ UNIT = 1 << 20
 #: Words of at least this share of the training tokens are broadcast with their counts: 1 / HEAVY at most.
 HEAVY = 1e-5
 #: Bytes of text that are cut into words at a time.
-BYTES = 6 << 20
+BYTES = 2 << 20
+#: Positions whose bucket is worked out at a time, and codes that are merged, or grown of whole symbols, at a time.
+SLAB, GROWN = 1 << 18, 1 << 19
 
 
 # ---------------------------------------------------------------- words and symbols
@@ -168,31 +170,30 @@ def deal(context: np.ndarray, doc: np.ndarray, learnt: np.ndarray, dealing: Deal
     occurs in training, the documents it occurs in; and of a crowded symbol the symbols after it in all training
     of the chunk, which every bucket of that symbol gets.
     """
-    order = np.argsort(context, kind="stable")
-    context, doc = context[order], doc[order].astype(np.uint32)
-    taught = learnt[doc]
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    code, occurs = context[first], np.diff(np.append(first, len(context)))
-    trained = np.add.reduceat(taught.astype(np.int64), first)
-    after: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    before = (code >> np.uint64(48)).astype(np.int64)
-    for s in np.unique(before[dealing.parts[before] > 1]).tolist():
-        a, b = np.searchsorted(before, [s, s + 1])
-        number = np.bincount((code[a:b] & np.uint64(NOTHING)).astype(np.int64), trained[a:b], minlength=1)
-        nexts = np.flatnonzero(number)
-        after[s] = (nexts.astype(np.uint16), number[nexts].astype(np.uint32))
-    bucket = dealing(code)
-    by = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1], [True])))
-    starts = first.astype(np.int64)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        rows = by[a:b]
-        times = occurs[rows]
-        places = np.repeat(starts[rows] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        s = int(before[rows[0]])
-        nexts, number = after[s] if dealing.parts[s] > 1 else (np.empty(0, np.uint16), np.empty(0, np.uint32))
-        steps = np.diff(code[rows], prepend=np.uint64(0))
-        yield int(bucket[rows[0]]), pack(steps, times.astype(np.uint32), trained[rows].astype(np.uint32), doc[places], nexts, number)
+    bucket = np.empty(len(context), np.int32)
+    for i in range(0, len(context), SLAB):
+        bucket[i : i + SLAB] = dealing(context[i : i + SLAB])
+    order = np.argsort(bucket, kind="stable")
+    bucket, context, doc = bucket[order], context[order], doc[order].astype(np.uint32, copy=False)
+    del order
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+    no_symbols = np.empty(0, np.uint16), np.empty(0, np.uint32)
+    crowded, after = -1, no_symbols
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        s = int(context[a] >> np.uint64(48))
+        if dealing.parts[s] > 1 and s != crowded:  # its buckets follow each other, and hold no other symbol
+            end = int(np.searchsorted(bucket, dealing.home[s] + dealing.parts[s]))
+            nexts = context[a:end][learnt[doc[a:end]]] & np.uint64(NOTHING)
+            number = np.bincount(nexts.astype(np.int64))
+            nexts = np.flatnonzero(number)
+            crowded, after = s, (nexts.astype(np.uint16), number[nexts].astype(np.uint32))
+        by = np.argsort(context[a:b], kind="stable")
+        codes, docs = context[a:b][by], doc[a:b][by]
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        times = np.diff(np.append(first, len(codes))).astype(np.uint32)
+        trained = np.add.reduceat(learnt[docs], first, dtype=np.uint32)
+        steps = np.diff(codes[first], prepend=np.uint64(0))
+        yield int(bucket[a]), pack(steps, times, trained, docs, *(after if dealing.parts[s] > 1 else no_symbols))
 
 
 DEALT = "bucket long, chunk long, data binary"
@@ -209,9 +210,8 @@ def _dealt(model):
         size = docs = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            code, doc, learnt, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            context, doc, learnt, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            context = (code << np.uint64(16)) | (code >> np.uint64(48))
             yield row(-1 - chunk % dealing.buckets, pack(hashes.view(np.uint64)))
             for bucket, data in deal(context, doc, learnt, dealing):
                 yield row(bucket, data)
@@ -225,7 +225,9 @@ def _dealt(model):
             for a, b, texts in chunks(batch):
                 _, _, symbols, sizes = lexicon.read(texts)
                 hashes, learnt = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("text_hash", "learnt"))
-                held.append((grams(ended(symbols, sizes)), np.repeat(np.arange(docs, docs + b - a), sizes + 1), learnt, hashes))
+                code = grams(ended(symbols, sizes))
+                context = (code << np.uint64(16)) | (code >> np.uint64(48))
+                held.append((context, np.repeat(np.arange(docs, docs + b - a, dtype=np.uint32), sizes + 1), learnt, hashes))
                 size, docs = size + len(held[-1][0]), docs + b - a
                 if size >= CHUNK:
                     yield from out()
@@ -327,6 +329,17 @@ def grow(code: np.ndarray, number: np.ndarray, root: np.ndarray, above: tuple[np
     return levels
 
 
+def grow_by_symbol(code: np.ndarray, number: np.ndarray, root: np.ndarray, most: int = GROWN) -> list[Level]:
+    """``grow`` of sorted codes by runs of whole symbols of about ``most`` codes: a symbol's subtree needs no other's."""
+    before = code >> np.uint64(48)
+    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))), [len(code)])) if len(code) else np.zeros(1, int)
+    del before
+    parts = [grow(code[edges[i] : edges[j]], number[edges[i] : edges[j]], root) for i, j in text_runs(np.diff(edges), most)]
+    if not parts:
+        return grow(code, number, root)
+    return [Level(*(np.concatenate([getattr(p[d], name) for p in parts]) for name in ("contexts", "rest", "keys", "p"))) for d in range(DEPTH)]
+
+
 def _grown(model):
     """Of each bucket the subtree is grown from all chunks' training, then all chunks' positions are scored in it:
 
@@ -364,13 +377,14 @@ def _grown(model):
                 steps, _, trained, _, nexts, count = unpack(data)
                 codes, good = np.cumsum(steps, dtype=np.uint64), trained > 0
                 first = codes[0] >> np.uint64(48) << np.uint64(16)
-                some.append((codes[good], trained[good].astype(np.int64), first | nexts.astype(np.uint64), count.astype(np.int64)))
+                some.append((codes[good], trained[good], first | nexts.astype(np.uint64), count))
                 fresh += int(good.sum())
-                if fresh >= CHUNK:
+                if fresh >= GROWN:
                     merge()
                     fresh = 0
             merge()
-            levels = grow(code, number, root, above if crowded[bucket] else None)
+            levels = grow(code, number, root, above) if crowded[bucket] else grow_by_symbol(code, number, root)
+            del code, number
             for chunk, data in held:
                 steps, occurs, _, doc, *_ = unpack(data)
                 p = probabilities(levels, root, np.cumsum(steps, dtype=np.uint64))
@@ -434,7 +448,9 @@ def tree_scores(rows: DataFrame, lexicon: Lexicon, number: np.ndarray, most: int
     dealt = rows.select("text", "text_hash", "learnt").mapInArrow(_dealt(model), DEALT)
     pieces = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_grown(model), "chunk long, texts binary, data binary")
     chunked = pieces.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("texts").isNull())
-    return chunked.mapInArrow(_added, "text_hash long, units long").groupBy("text_hash").agg(F.max("units").alias("units"))
+    added = chunked.mapInArrow(_added, "text_hash long, units long").groupBy("text_hash").agg(F.max("units").alias("units"))
+    with small_batches(spark):
+        return durable(added, "lm-sums")
 
 
 # ---------------------------------------------------------------- scoring
@@ -496,7 +512,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         text.cast("binary").alias("text"),
     )
     training = rows.filter("learnt").select("text")
-    counts = durable(word_counts(training), "word-counts")
+    with small_batches(docs.sparkSession):
+        counts = durable(word_counts(training), "word-counts")
     sums = counts.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
     n_train, v = (sums[0] or 0) + ends, sums[1] + (ends > 0)
@@ -512,7 +529,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     tree = tree_scores(rows, lexicon, number, most)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((lexicon, shares))
-    each = durable(rows.mapInArrow(_scored(model), SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    with small_batches(spark):
+        each = durable(rows.mapInArrow(_scored(model), SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
 
     # words that aren't broadcast meet their counts
     factors = F.broadcast(spark.createDataFrame(shares[["class", "known", "new"]], "class int, known double, new double"))  # CLASSES rows

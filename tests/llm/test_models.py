@@ -1,6 +1,7 @@
 """Toxicity, search, language model, licences: odd tables, accuracy and plain Python versions."""
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -358,6 +359,42 @@ def test_positions_are_packed_whole():
     assert sorted(got) == sorted(zip(context.tolist(), doc.tolist(), strict=True))
 
 
+def traced(f):
+    """The most bytes that Python and numpy hold at a time while f runs, beyond those from before."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def many_positions(n):
+    symbols = (np.random.default_rng(3).zipf(1.2, (n, 4)).astype(np.float64) % 3000).astype(np.uint64)
+    return symbols @ np.array([1 << 48, 1 << 32, 1 << 16, 1], np.uint64), np.bincount(symbols[:, 0].astype(int), minlength=3000)
+
+
+def test_dealing_takes_few_bytes_a_position():
+    n = 1 << 19
+    context, number = many_positions(n)
+    rng = np.random.default_rng(4)
+    doc, learnt = np.sort(rng.integers(0, 3000, n)).astype(np.uint32), rng.integers(0, 2, 3000).astype(bool)
+    dealing = st.Dealing.of(number * 30, 1_000_000)
+    assert (dealing.parts > 1).any()
+    assert traced(lambda: [None for _ in st.deal(context, doc, learnt, dealing)]) < 60 * n
+
+
+def test_subtrees_grow_by_symbols():
+    code, number = st.summed(many_positions(1 << 18)[0], np.ones(1 << 18, np.int64))
+    root = np.full(3000, 1 / 3000)
+    whole = st.grow(code, number, root)
+    for most in (1, 1 << 12, 1 << 30):
+        for a, b in zip(whole, st.grow_by_symbol(code, number, root, most), strict=True):
+            assert all(np.array_equal(getattr(a, x), getattr(b, x)) for x in ("contexts", "rest", "keys", "p"))
+    assert traced(lambda: st.grow_by_symbol(code, number, root, 1 << 12)) < 60 * len(code) < traced(lambda: st.grow(code, number, root))
+    assert [len(x.keys) for x in st.grow_by_symbol(code[:0], number[:0], root)] == [0] * st.DEPTH
+
+
 # ---------------------------------------------------------------- licences
 
 
