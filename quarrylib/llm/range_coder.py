@@ -24,12 +24,15 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 MAGIC, HEAD = b"TKB2", struct.Struct("<4s6IQ")
 #: Lanes of a block, and the steps a lane should have at least.
 LANES, STEPS = 16384, 192
+#: Steps whose ids are gathered from all lanes at a time.
+SLAB = 32
 #: Resolution of the whole mixture, and of order 0 at least; weights take what is left.
 BITS, BITS0 = 32, 20
 #: Ids from here on are coded as numbers in the list of a block's ids.
@@ -125,28 +128,35 @@ def _shape(n: int) -> tuple[int, int]:
     return max(1, -(-n // steps)), steps
 
 
+def _steps(x: np.ndarray) -> Iterator[np.ndarray]:
+    """The columns of a matrix, copied some at a time."""
+    for k in range(0, x.shape[1], SLAB):
+        yield from np.ascontiguousarray(x[:, k : k + SLAB].T)
+
+
 def encode(ids: np.ndarray, attached: bytes = b"") -> bytes:
     """A block of ids, each a uint32, and of what is attached to them."""
-    ids = np.asarray(ids, np.int64)
-    if ids.min(initial=0) < 0 or ids.max(initial=0) >> 32:
-        raise ValueError("ids must be from 0 below 1 << 32")
-    check, alphabet = zlib.crc32(ids.astype("<u4").tobytes()), b""
+    ids = np.asarray(ids)
+    if ids.dtype != np.uint32:
+        ids = ids.astype(np.int64)
+        if ids.min(initial=0) < 0 or ids.max(initial=0) >> 32:
+            raise ValueError("ids must be from 0 below 1 << 32")
+    check, alphabet = zlib.crc32(np.ascontiguousarray(ids, "<u4")), b""
     n, symbols = len(ids), int(ids.max(initial=0)) + 1
     if symbols > DIRECT:
         different, ids = np.unique(ids, return_inverse=True)
-        symbols, alphabet = len(different), zlib.compress(np.diff(different, prepend=0).astype("<u4").tobytes())
+        symbols, alphabet = len(different), zlib.compress(np.diff(different.astype(np.int64), prepend=0).astype("<u4").tobytes())
     bits = max(8, min(20, n.bit_length() + 1))
     lanes, steps = _shape(n)
     head = HEAD.pack(MAGIC, n, lanes, symbols, bits, len(alphabet), check, len(attached)) + alphabet + attached
     at = np.zeros(lanes * steps, np.int32)
     at[:n] = ids
-    x = np.ascontiguousarray(at.reshape(lanes, steps).T)
     model = Model(symbols, bits)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
     one = two_back = np.zeros(lanes, np.int32)
-    for now in x:
+    for now in _steps(at.reshape(lanes, steps)):
         slot = model.slots(one, two_back)
         entry2, entry1, two, first, state = model.predict(one, slot)
         hit2, hit1 = two == now, first == now
@@ -216,9 +226,10 @@ def decode(block: bytes) -> tuple[np.ndarray, bytes]:
         model.learn(now, one, slot, entry2, entry1, state, hit2, first == now)
         two_back, one = one, now
     ids = out.T.ravel()[:n]
+    del out, words
     if listed:
         ids = np.cumsum(np.frombuffer(zlib.decompress(alphabet), "<u4").astype(np.int64))[ids]
-    ids = ids.astype("<u4")
-    if zlib.crc32(ids.tobytes()) != check:
+    ids = ids.view("<u4") if ids.dtype == np.int32 else ids.astype("<u4")
+    if zlib.crc32(ids) != check:
         raise Corrupt("the ids don't match their checksum")
     return ids, attached

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylib.operators.components import connected_components
 
-from .common import durable, id_key, releasing, spread_join
+from .common import durable, id_key, releasing, small_batches, spread_join
 from .simhash import SEED, fingerprint, hashes, links
 
 #: Bands of least hashes, and hashes of a band: at a similarity of 0.8 all bands of a pair differ in 2 of 10,000 cases.
@@ -290,7 +290,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     text = F.col(text_col).cast("string")
     named = docs.select(id_key(F.col(id_col)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = durable(named.mapInPandas(_sketches(words), "key long, text_hash long, sig long, fp long, bands array<long>"), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = durable(named.mapInPandas(_sketches(words), "key long, text_hash long, sig long, fp long, bands array<long>"), "sketches")
     nodes = rows.groupBy("sig").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("key", "text_hash")).alias("at"))
     nodes = durable(nodes, "sketch-nodes")  # fingerprints count repeats, bands follow from the set
     keyed = nodes.select("sig", F.posexplode("bands").alias("band", "k"))
@@ -317,7 +318,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     asked = (asked.union(clumps.select("sig")) if crowded else asked).distinct()
     wanted = nodes.join(asked, "sig").select("sig", "at.*")
     texts = named.join(wanted, ["key", "text_hash"]).dropDuplicates(["sig"]).select("sig", "text")
-    sets = durable(texts.mapInPandas(_sets(words), "sig long, shingles binary"), "shingle-sets")
+    with small_batches(docs.sparkSession):
+        sets = durable(texts.mapInPandas(_sets(words), "sig long, shingles binary"), "shingle-sets")
     if crowded:
         met, dense = clump_pairs(clumps, sets, similarity)
         pairs = durable(pairs.union(met).distinct(), "clump-pairs")

@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import AZ, NULL_ID, durable, id_key, kept, marked, releasing, split_words, table, text_or_empty, text_runs
+from .common import AZ, NULL_ID, durable, id_key, kept, marked, releasing, small_batches, split_words, table, text_or_empty, text_runs
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
-BLOCK_IDS = 1 << 23
+BLOCK_IDS = 1 << 21
 #: Words whose ids a worker remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 250_000
 #: Words that the library is asked for at a time.
 BATCH = 256
 #: Bytes of text that are cut into words at a time.
-CHUNK = 6 << 20
+CHUNK = 1 << 20
 #: Bytes of text for a partition of the sorted documents, about.
 PARTITION_BYTES = 48 << 20
 ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
@@ -173,6 +173,7 @@ BLOCKS = "block long, n_ids long, data binary"
 def _write(path: str, end_id: int, word_split: bool):
     def block(number: int, keys: list, sizes: list, ids: list) -> pa.RecordBatch:
         joined = np.concatenate(ids)
+        ids.clear()  # the coder works beside one copy
         documents = np.concatenate([np.concatenate(keys), np.concatenate(sizes)]).astype("<i8").tobytes()
         columns = [pa.array([number]), pa.array([len(joined)]), pa.array([range_coder.encode(joined, documents)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "n_ids", "data"])
@@ -242,10 +243,9 @@ def write_token_files(
     n = partitions or _partitions(docs)
     ties = F.xxhash64("text")
     sorted_rows = rows.repartitionByRange(n, F.col("key"), ties).sortWithinPartitions("key", ties).withColumn("text", F.col("text").cast("binary"))
-    return durable(
-        sorted_rows.mapInArrow(_write(path, end_id, word_split), BLOCKS).withColumn("part", F.spark_partition_id().cast("long")),
-        "token-blocks",
-    )
+    coded = sorted_rows.mapInArrow(_write(path, end_id, word_split), BLOCKS).withColumn("part", F.spark_partition_id().cast("long"))
+    with small_batches(docs.sparkSession):
+        return durable(coded, "token-blocks")
 
 
 def _partitions(docs: DataFrame) -> int:

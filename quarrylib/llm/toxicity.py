@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, releasing, table
+from .common import durable, releasing, small_batches, table
 
 SIZES = (4, 5, 6)
 #: n-grams are hashed to so many bits.
@@ -21,8 +21,8 @@ MAX_TRAINING = 8_000
 MIN_CHI2, MIN_TEXTS = 10.83, 3
 #: A toxic text weighs the ratio of the classes to this power in the loss.
 BALANCE = 1.0
-#: Texts are worked on so many bytes at a time.
-CHUNK = 1 << 21
+#: Texts are worked on so many bytes at a time; a byte takes some 150 in a worker.
+CHUNK = 1 << 19
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Lower-cases A-Z and turns other ASCII than letters and digits to spaces.
 PLAIN = bytes(
@@ -183,7 +183,8 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING, penalty: float =
     ratio[top["bucket"].to_numpy(np.int64)] = np.log(p / (n1 + 2)) - np.log(q / (n0 + 2))
     wanted = ratio != 0
     column = np.cumsum(wanted) - 1
-    rows = sample.mapInPandas(_rows(wanted), "label int, buckets binary").toPandas()
+    with small_batches(sample.sparkSession):
+        rows = sample.mapInPandas(_rows(wanted), "label int, buckets binary").toPandas()
     y = rows["label"].to_numpy(np.float64)
     width = rows["buckets"].str.len().to_numpy(np.int64) // 4
     bucket = np.frombuffer(b"".join(rows["buckets"]), "<i4")

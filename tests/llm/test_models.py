@@ -1,12 +1,12 @@
 """Toxicity, search, language model, licences: odd tables, accuracy and plain Python versions."""
 
 import math
-import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
-from brute import AZ, WORD
+from brute import AZ, WORD, traced
 from pyspark.sql import functions as F
 
 from quarrylib.llm import licenses, topk
@@ -29,6 +29,16 @@ def test_grams_stay_inside_texts():
     assert seen == alone
 
 
+def test_counting_grams_takes_little_memory():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x1", "y22"], 400)) for _ in range(1000)]
+    rows = pd.DataFrame({"text": texts, "label": np.arange(1000) % 2})
+    whole, some = [], []
+    assert traced(lambda: some.extend(tox._counts(iter([rows])))) < 130e6
+    whole.extend(tox._counts(iter([rows[:300], rows[300:]])))
+    assert some[0].equals(whole[0])
+
+
 def test_held_out_accuracy(spark):
     got = tox.op2_toxicity(spark, D).join(spark.read.parquet(f"{D}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
     caught = [r.predicted for r in got if r.toxic == 1]
@@ -359,16 +369,6 @@ def test_positions_are_packed_whole():
     assert sorted(got) == sorted(zip(context.tolist(), doc.tolist(), strict=True))
 
 
-def traced(f):
-    """The most bytes that Python and numpy hold at a time while f runs, beyond those from before."""
-    tracemalloc.start()
-    try:
-        f()
-        return tracemalloc.get_traced_memory()[1]
-    finally:
-        tracemalloc.stop()
-
-
 def many_positions(n):
     symbols = (np.random.default_rng(3).zipf(1.2, (n, 4)).astype(np.float64) % 3000).astype(np.uint64)
     return symbols @ np.array([1 << 48, 1 << 32, 1 << 16, 1], np.uint64), np.bincount(symbols[:, 0].astype(int), minlength=3000)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from brute import traced
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +67,14 @@ def test_round_trip_of_many_ids(n):
         assert (rc.decode(rc.encode(ids))[0] == ids).all()
 
 
+def test_coding_takes_few_bytes_an_id():
+    ids = (np.random.default_rng(0).zipf(1.3, 1 << 21) % 49_000).astype(np.uint32)
+    assert traced(lambda: rc.encode(ids)) < 19 * len(ids)
+    block = rc.encode(ids)
+    assert block == rc.encode(ids.astype(np.int64))
+    assert traced(lambda: rc.decode(block)) < 18.5 * len(ids)
+
+
 def test_predictions_save_room_and_damage_is_noticed():
     ids = np.tile(np.random.default_rng(0).integers(0, 40_000, 500), 200)
     block = rc.encode(ids, b"attached")
