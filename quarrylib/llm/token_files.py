@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .common import AZ, NULL_ID, durable, id_key, kept, marked, releasing, small
 
 #: Ids of a block before it is closed; a document is never split, so a block may be longer.
 BLOCK_IDS = 1 << 21
-#: Words whose ids a worker remembers before it starts anew.
+#: Words whose ids a worker remembers before it forgets those that came up once.
 MEMORY = 250_000
 #: Words that the library is asked for at a time.
 BATCH = 256
@@ -31,28 +32,40 @@ PARTITION_BYTES = 48 << 20
 ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 #: ASCII punctuation but for the apostrophe, which contractions begin with, and the bar of special tokens.
 MARKS = bytes(c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~" for c in range(256))
+#: The letters of Latin-1 beyond ASCII are this byte and one of those; capitals lack the bit of 32.
+LEAD, LATIN = 0xC3, np.isin(np.arange(256), [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
+SMALL = np.array([c | 32 if 0x80 <= c <= 0x9E and c != 0x97 else c for c in range(256)], np.uint8)
+LOWER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+#: What the model puts after a word's last symbol; no letter is part of a "<".
+END_OF_WORD = "</w>"
+
+
+def _byte_letters() -> str:
+    """The characters that stand for bytes in a byte-level vocabulary; a space stays one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(" " if c == 32 and next(others) else chr(c) if c in shown else chr(next(others)) for c in range(256))
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 def stops(joined: bytes, x: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Runs of punctuation at the end of words, after an ASCII letter or digit."""
+    """Runs of punctuation at the end of words, after an ASCII letter or digit or a letter of Latin-1."""
     mark = marked(joined, MARKS)
     edge = np.flatnonzero(mark[1:] != mark[:-1]) + 1  # x ends with a space, so runs are whole
     first, after = edge[mark[edge]], edge[~mark[edge]]
     after = after[len(after) - len(first) :]  # a run at the very start has no letter before
-    return first[ALNUM[x[first - 1]] & space[after]]
-
-
-class Words(dict):
-    """Numbers of byte strings; new ones are listed."""
+    return first[(ALNUM[x[first - 1]] | (x[first - 2] == LEAD) & LATIN[x[first - 1]]) & space[after]]
 
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
+def runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs that begin and are as long as given, one run after the other, and where each ends among them."""
+    sizes = sizes.astype(np.int64)
+    done = np.cumsum(sizes)
+    at = np.repeat(starts - (done - sizes), sizes)
+    at += np.arange(len(at))
+    return at, done
 
 
 #: What a tokenizer's file says of texts if cutting them leaves all ids as they are. Fixed values.
@@ -82,26 +95,48 @@ class Encoder:
 
     That is for a tokenizer that drops white space, lower-cases and cuts words before it
     merges, as the ``word_bpe`` vocabulary does: then texts may be cut at ASCII white space and before
-    punctuation that ends a word after an ASCII letter or digit, and A-Z be lower-cased, without a
-    change of ids. Texts that may hold a special token, or a mark that might compose with a letter, keep
-    their case. ``cuts_safely`` reads from the tokenizer whether this holds; of any other tokenizer, or with
-    ``word_split`` false, every text goes to the library whole.
+    punctuation that ends a word after an ASCII letter or digit or a letter of Latin-1, and A-Z be lower-cased,
+    without a change of ids. Texts that may hold a special token, or a mark that might compose with a letter, keep
+    their case. Words of such letters alone are one piece that no step but lower-casing changes, so they go to the
+    library's model straight. ``cuts_safely`` reads from the tokenizer whether this holds; of any other tokenizer,
+    or with ``word_split`` false, every text goes to the library whole.
     """
 
     def __init__(self, path: str, word_split: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
         word_split = self.word_split = word_split and cuts_safely(self.library)
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self.mark = next(((t, i) for t, i in special.items() if word_split and t.startswith("<")), None)
-        self.forget()
+        self.bare = None  # the same model without the steps before it
+        if word_split and self.library.model.end_of_word_suffix == END_OF_WORD:
+            self.bare = Tokenizer(self.library.model)
+            self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+            vocabulary = self.library.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+        self.words: dict[bytes, int] = {b"": 0}  # numbers; the first stands for the end of a text
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 1
+        self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.ones(1 << 18, np.int32)
+        self.met = np.ones(1 << 18, np.int32)
 
     def forget(self) -> None:
-        self.words = Words()
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+        """Keeps the words that came up in more than one call, and not over half of ``MEMORY``."""
+        met = self.met[: len(self.words)]
+        met[0] = np.iinfo(met.dtype).max
+        again = np.flatnonzero(met > 1)
+        again = np.sort(again[np.argsort(-met[again], kind="stable")[: max(1, MEMORY // 2)]])
+        keep = np.zeros(len(met), np.bool_)
+        keep[again] = True
+        self.words = {w: i for i, w in enumerate(compress(self.words, keep))}
+        at, done = runs(self.starts[again], self.sizes[again])
+        self.flat[: len(at)], self.used = self.flat[at], len(at)
+        self.sizes[: len(again)] = self.sizes[again]
+        self.starts[: len(again)] = done - self.sizes[: len(again)]
+        self.met[: len(again)] = 1
 
     def ask(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of some texts, one after the other, and how many each has.
@@ -117,21 +152,59 @@ class Encoder:
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
-    def learn(self) -> None:
-        """Ids for the words that came up since the last time."""
-        fresh = self.words.fresh
-        first = len(self.words) - len(fresh)
-        while len(self.words) > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        for i in range(0, len(fresh), BATCH):
-            ids, sizes = self.ask(fresh[i : i + BATCH])
-            n, at = len(ids), slice(first + i, first + i + len(sizes))
-            while self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + n] = ids
-            self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
-            self.used += n
-        fresh.clear()
+    def merge(self, joined: bytes, words: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``ask``, of small letters' words with a space between them; none if the model doesn't end each by its mark."""
+        decoded = codecs.charmap_decode(joined, "strict", BYTE_LETTERS)[0]
+        ids = np.array(self.bare.encode_batch_fast([decoded], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != words or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends, prepend=-1)
+
+    def plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is of letters of ASCII and Latin-1 alone, all words in small letters, each with a space after it, and where those are."""
+        x = np.frombuffer(b" ".join([*words, b""]).translate(AZ), np.uint8)
+        lead = x[:-1] == LEAD
+        ok = LOWER[x]
+        ok[1:] |= lead & LATIN[x[1:]]
+        ok[:-1] |= lead & LATIN[x[1:]]
+        small = x.copy()
+        small[1:][lead] = SMALL[x[1:][lead]]
+        spaces = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        ok[spaces] = True
+        return np.diff(np.cumsum(~ok)[spaces], prepend=0) == 0, small, spaces
+
+    def learn(self, fresh: list[bytes]) -> None:
+        """Ids for new words, which are numbered from here on."""
+        first, after = len(self.words), len(self.words) + len(fresh)
+        while after > len(self.starts):
+            self.starts, self.sizes, self.met = (np.resize(a, 2 * len(a)) for a in (self.starts, self.sizes, self.met))
+        self.met[first:after] = 0
+        numbers = np.arange(len(fresh))
+        if self.bare:
+            plain, small, spaces = self.plain(fresh)
+            begins = np.append(0, spaces + 1)
+            chosen = small[np.repeat(plain, np.diff(begins))]
+            places, numbers = np.flatnonzero(plain), np.flatnonzero(~plain)
+            ends = np.cumsum(np.diff(begins)[plain])
+            for i in range(0, len(places), BATCH):
+                at = places[i : i + BATCH]
+                done = self.merge(chosen[ends[i - 1] if i else 0 : ends[i + len(at) - 1] - 1].tobytes(), len(at))
+                if done:
+                    self.remember(first + at, *done)
+                else:  # the whole way, with the others
+                    numbers = np.append(numbers, at)
+        for i in range(0, len(numbers), BATCH):
+            at = numbers[i : i + BATCH]
+            self.remember(first + at, *self.ask([fresh[k] for k in at.tolist()]))
+        self.words.update(zip(fresh, range(first, after), strict=True))
+
+    def remember(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end_id`` after each, and how many each has with it."""
@@ -142,20 +215,20 @@ class Encoder:
             return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
         if len(self.words) > MEMORY:
             self.forget()
-        if not self.words:
-            self.words[b""] = 0  # stands for the end of a text
-            self.flat[0], self.used, self.starts[0], self.sizes[0] = end_id, 1, 0, 1
+        self.flat[0] = end_id
         parts = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.translate(AZ) for t in texts]
         words, counts = split_words(parts, stops)
         coded = words.dictionary_encode()
-        numbers = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        self.learn()
+        different = coded.dictionary.to_numpy(zero_copy_only=False)  # quicker than to_pylist
+        numbers = np.fromiter(map(self.words.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(numbers < 0)
+        numbers[new] = len(self.words) + np.arange(len(new))
+        if len(new):
+            self.learn(different[new].tolist())
+        self.met[numbers] += 1
         last = np.cumsum(counts)
         codes = np.insert(numbers[coded.indices.to_numpy()], last, 0)
-        sizes = self.sizes[codes].astype(np.int64)
-        done = np.cumsum(sizes)
-        at = np.repeat(self.starts[codes] - (done - sizes), sizes)
-        at += np.arange(len(at))
+        at, done = runs(self.starts[codes], self.sizes[codes])
         return self.flat[at], np.diff(done[last + np.arange(len(last))], prepend=0)
 
 

@@ -45,6 +45,44 @@ def test_ids_of_any_text(both, texts):
     same(both, texts)
 
 
+LATIN_1 = st.sampled_from("abzAZ09éÉçßÿÀÞ×÷ªºµİſ .,=>'&\n\u0301\u0338\u200d")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(LATIN_1, max_size=30), max_size=5))
+def test_ids_of_latin_letters(both, texts):
+    same(both, texts)
+
+
+def test_words_of_letters_go_to_the_model_straight(both, monkeypatch):
+    encoder, asked = tf.Encoder(tf.vocabulary()), []
+    ask = encoder.ask
+    monkeypatch.setattr(encoder, "ask", lambda texts: asked.extend(texts) or ask(texts))
+    texts = ["Straße, Été. naïvement Éloigné zzqx", "a×b don't x9 ¿qué? 日本 él", "ÀÖØÞ àöøþ éé&&& ×."]
+    same((encoder, both[1]), texts)
+    assert set(asked) == {w.encode() for w in ["a×b", "don't", "x9", "¿qué", "日本", "×.", ",", ".", "?", "&&&"]}
+    assert encoder.words.keys() >= {"Été".encode(), "éé".encode()}
+    encoder.ends_word[:] = False  # as of a model that doesn't mark the ends of words
+    asked.clear()
+    same((encoder, both[1]), ["otherwise Élan"])
+    assert asked == [b"otherwise", "Élan".encode()]
+
+
+def test_words_that_come_up_again_are_remembered(both, monkeypatch):
+    monkeypatch.setattr(tf, "MEMORY", 60)
+    encoder, learnt = tf.Encoder(tf.vocabulary()), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda fresh: learnt.extend(fresh) or learn(fresh))
+    texts = [f"the common words and {'x' * i} once{i} été" for i in range(200)]
+    for i in range(0, 200, 20):
+        same((encoder, both[1]), texts[i : i + 20])
+        assert len(encoder.words) <= tf.MEMORY + 45
+    assert len(learnt) == len(set(learnt))
+    monkeypatch.setattr(tf, "MEMORY", 0)
+    for t in texts[:5]:
+        same((encoder, both[1]), [t, t])
+
+
 def test_ids_of_documents(spark, both):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     same(both, texts)
